@@ -121,7 +121,7 @@ def _powers(n: int) -> np.ndarray:
     k = 1
     while k < n:
         m = min(k, n - k)
-        step = p[k - 1] * MULT
+        step = p[k - 1 : k] * MULT
         p[k : k + m] = p[:m] * step
         k += m
     return p
