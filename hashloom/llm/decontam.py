@@ -344,7 +344,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         new = np.ones(len(hit), bool)
         new[1:] = (hit[1:, 0] != hit[:-1, 0]) | (hit[1:, 1] != hit[:-1, 1] + 1)
         s = np.flatnonzero(new)
-        e = np.append(s[1:], len(hit)) - 1
+        e = np.append(s[1:], len(hit))[: len(s)] - 1
         spans: dict[int, list] = {}
         for d, x, y in zip(hit[s, 0].tolist(), hit[s, 2].tolist(), hit[e, 3].tolist(), strict=True):
             spans.setdefault(d, []).append((x, y))
