@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, sql, warc
+from . import decontam, neardup, sql, warc
 
 _QUERIES = {
+    "op2_minhash_neardup": neardup.op2,
     "op4_warc_index": warc.op4,
     "op9_fm_decontamination": decontam.op9,
 }
 
 _SQL: dict[str, str] = {
+    "op2_minhash_neardup": sql.OP2,
     "op4_warc_index": sql.OP4,
     "op9_fm_decontamination": sql.OP9,
 }
