@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, sql, warc
+from . import decontam, fingerprint, neardup, sql, warc
 
 _QUERIES = {
     "op2_minhash_neardup": neardup.op2,
     "op4_warc_index": warc.op4,
+    "op8_bottom_k_fingerprints": fingerprint.op8,
     "op9_fm_decontamination": decontam.op9,
 }
 
