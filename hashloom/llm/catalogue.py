@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, neardup, sql, warc
+from . import decontam, fingerprint, neardup, quality, sql, warc
 
 _QUERIES = {
+    "op1_rff_quality": quality.op1,
     "op2_minhash_neardup": neardup.op2,
     "op4_warc_index": warc.op4,
     "op8_bottom_k_fingerprints": fingerprint.op8,
