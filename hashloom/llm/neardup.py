@@ -188,14 +188,14 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, nu
     return persist_table(both.mapInArrow(hold, "a binary, b binary"), "nd-edges")
 
 
-def _across(members: DataFrame, num: int, den: int) -> DataFrame:
+def _across(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nodes in one bucket but in different components whose sketches agree often enough to be worth verifying.
 
-    members(key, node, comp, n, sketch). In each bucket, those outside its largest component (all of them stragglers) meet
+    members(key, node, comp); classes has the nodes' sketches. In each bucket, those outside its largest component (all of them stragglers) meet
     all members, block by block of about BLOCK rows; a task holds one block of each."""
     per = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"))
     per = persist_table(per.where("m > top").select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int").alias("ns")), "nd-buckets")
-    rows = members.join(per, "key")
+    rows = persist_table(members.join(per, "key"), "nd-mixed").join(classes.select("node", "n", "sketch"), "node")
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     bm, bs = F.pmod(F.xxhash64("node"), F.col("nm").cast("long")), F.pmod(F.xxhash64("node", F.lit(7)), F.col("ns").cast("long"))
     whole = rows.select("key", "node", "comp", "n", "sketch", F.lit(False).alias("straggler"), F.explode(F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: cell(bm, j))).alias("cell"))
@@ -243,14 +243,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     full = table.where("node is not null")
     classes = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     classes = persist_table(classes, "nd-classes")
-    exploded = classes.select("node", F.explode("bands").alias("key"))
-    buckets = persist_table(exploded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("c")).where("c > 1").select("key", "leader"), "nd-leaders")
-    pairs = persist_table(exploded.join(buckets, "key").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "nd-pairs")
+    # buckets hold 8-byte names of nodes; should two nodes share one, both are verified
+    name = F.xxhash64("node")
+    exploded = classes.select(name.alias("nid"), F.explode("bands").alias("key"))
+    buckets = exploded.groupBy("key").agg(F.min("nid").alias("leader"), F.max("nid").alias("last")).where("leader < last").select("key", "leader")
+    members = persist_table(exploded.join(persist_table(buckets, "nd-leaders"), "key"), "nd-members")
+    names = persist_table(classes.select(name.alias("nid"), "node").join(members.select("nid").distinct(), "nid"), "nd-names")
+    pairs = members.where("nid <> leader").select("leader", "nid").distinct()
+    pairs = pairs.join(names.toDF("leader", "a"), "leader").join(names.toDF("nid", "b"), "nid").select("a", "b")
+    pairs = persist_table(pairs.where("a <> b"), "nd-pairs")
     edges = verify(pairs, docs, classes, words, num, den)
     labels = connected_components(edges)
-    inside = classes.select("node", "n", "sketch", F.explode("bands").alias("key")).join(buckets.select("key"), "key")
-    inside = inside.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"), "n", "sketch")
-    more = persist_table(_across(inside, num, den).join(pairs, ["a", "b"], "left_anti"), "nd-more")
+    comps = names.join(labels, "node", "left").select("nid", "node", F.coalesce("label", "node").alias("comp"))
+    inside = members.select("key", "nid").join(persist_table(comps, "nd-comps"), "nid").select("key", "node", "comp")
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = persist_table(_across(inside, classes, num, den).join(known, ["a", "b"], "left_anti"), "nd-more")
     if not more.isEmpty():
         edges = edges.union(verify(more, docs, classes, words, num, den))
         labels = connected_components(edges)
