@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, neardup, quality, sql, tokencount, warc
+from . import decontam, fingerprint, neardup, pieces, quality, sql, tokencount, warc
 
 _QUERIES = {
     "op1_rff_quality": quality.op1,
@@ -11,6 +11,7 @@ _QUERIES = {
     "op5_token_histogram": tokencount.op5,
     "op8_bottom_k_fingerprints": fingerprint.op8,
     "op9_fm_decontamination": decontam.op9,
+    "op10_sampled_pieces": pieces.op10,
 }
 
 _SQL: dict[str, str] = {
