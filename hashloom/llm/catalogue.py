@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, neardup, pieces, quality, sql, tokencount, warc
+from . import decontam, fingerprint, neardup, pieces, pii, quality, sql, tokencount, warc
 
 _QUERIES = {
     "op1_rff_quality": quality.op1,
     "op2_minhash_neardup": neardup.op2,
     "op4_warc_index": warc.op4,
     "op5_token_histogram": tokencount.op5,
+    "op7_bootstrapped_pii": pii.op7,
     "op8_bottom_k_fingerprints": fingerprint.op8,
     "op9_fm_decontamination": decontam.op9,
     "op10_sampled_pieces": pieces.op10,
