@@ -129,8 +129,11 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept:
 
 def listed(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of the spans in struct column `pii`, comma-joined."""
-    parts = [F.transform(F.col(f"pii.{k}"), lambda s, k=k: F.concat(F.lit(f"{k}:"), s["b"].cast("string"), F.lit(":"), s["e"].cast("string"))) for k in kinds]
-    return F.array_join(F.concat(*parts), ",")
+
+    def of(kind: str) -> Column:
+        return F.transform(F.col(f"pii.{kind}"), lambda s: F.concat(F.lit(f"{kind}:"), s["b"].cast("string"), F.lit(":"), s["e"].cast("string")))
+
+    return F.array_join(F.concat(*[of(k) for k in kinds]), ",")
 
 
 def redacted(text: Column, mark: str = "[PII]") -> Column:
