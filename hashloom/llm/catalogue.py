@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, neardup, pieces, pii, quality, sql, tokencount, warc
+from . import decontam, fingerprint, neardup, pieces, pii, quality, sql, tokencount, toxicity, warc
 
 _QUERIES = {
     "op1_rff_quality": quality.op1,
     "op2_minhash_neardup": neardup.op2,
+    "op3_subsequence_toxicity": toxicity.op3,
     "op4_warc_index": warc.op4,
     "op5_token_histogram": tokencount.op5,
     "op7_bootstrapped_pii": pii.op7,
@@ -17,6 +18,7 @@ _QUERIES = {
 
 _SQL: dict[str, str] = {
     "op2_minhash_neardup": sql.OP2,
+    "op3_subsequence_toxicity": toxicity.op3,
     "op4_warc_index": sql.OP4,
     "op9_fm_decontamination": sql.OP9,
 }
