@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprint, neardup, pieces, pii, quality, sql, tokencount, toxicity, warc
+from . import decontam, fingerprint, maskedlm, neardup, pieces, pii, quality, sql, tokencount, toxicity, warc
 
 _QUERIES = {
     "op1_rff_quality": quality.op1,
@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_subsequence_toxicity": toxicity.op3,
     "op4_warc_index": warc.op4,
     "op5_token_histogram": tokencount.op5,
+    "op6_masked_lm": maskedlm.op6,
     "op7_bootstrapped_pii": pii.op7,
     "op8_bottom_k_fingerprints": fingerprint.op8,
     "op9_fm_decontamination": decontam.op9,
