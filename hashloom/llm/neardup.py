@@ -237,8 +237,8 @@ def _across(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     return cells.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text); links have den * intersection >= num * union."""
+def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node) for each row of docs(doc_id, text), and (node, component_id, comp) for the nodes that have copies or links."""
     table = persist_table(sketch_table(docs, words), "nd-table")
     full = table.where("node is not null")
     classes = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
@@ -264,12 +264,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     # only classes with copies or links need a component id from elsewhere
     some = classes.select("node", "rep", "copies").join(labels, "node", "left").where("copies > 1 or label is not null").withColumn("comp", F.coalesce("label", "node"))
     least = some.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    ids = persist_table(some.select("node", "comp").join(least, "comp").select("node", "component_id"), "nd-ids")
+    return table, persist_table(some.select("node", "comp").join(least, "comp").select("node", "component_id", "comp"), "nd-ids")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text); links have den * intersection >= num * union."""
+    table, ids = grouped(docs, words, num, den)
     out = table.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each group of near duplicates: the least doc_id's, of repeated rows any one. Rows without words stay."""
+    _, ids = grouped(docs.select("doc_id", "text"), words, num, den)
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in _chunks(b.column(1)):
+                keys = set_keys(*shingle_sets(b.column(1).slice(i, j - i), words))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys, pa.binary())], names=["row", "node"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = rows.mapInArrow(tag, f"row {docs.schema.simpleString()}, node binary").join(ids, "node", "left")
+    rows = rows.where("comp is null or row.doc_id <=> component_id")
+    # few rows are left of each group, so the last step moves a row a group
+    return rows.where("comp is null").select("row.*").unionByName(rows.where("comp is not null").dropDuplicates(["comp"]).select("row.*"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, words=2, num=80, den=100)

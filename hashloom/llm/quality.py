@@ -153,7 +153,6 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 def fit(stats: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> QualityModel:
     """Model from statistics (doc_id, stats) and labels (doc_id, quality), without the rows of the held-out fold."""
-    spark = stats.sparkSession
     y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("double").alias("y"))
     rows = persist_table(stats.join(y.where(~held_out(F.col("doc_id"), folds, fold)), "doc_id"), "ql-train")
     known = rows.agg(F.count("*").alias("n"), F.avg("y").alias("p")).first()
@@ -196,7 +195,6 @@ def fit(stats: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Q
         model.knots, model.values = np.array([g[0] for g in got]), pool_adjacent_violators(np.array([g[2] for g in got]), np.array([float(g[1]) for g in got]))
     else:
         model.knots, model.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    _ = spark
     return model
 
 
@@ -218,6 +216,21 @@ def score(stats: DataFrame, model: QualityModel) -> DataFrame:
     return stats.mapInArrow(run, "doc_id long, score double")
 
 
+def scored_rows(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """(row, score): every row of docs, all its columns in a struct, with its score. Rows need no id for this."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in row_chunks(b.column(1), CHUNK_BYTES):
+                for k in range(i, j, CHUNK_DOCS):
+                    m = min(j, k + CHUNK_DOCS)
+                    x = document_statistics(b.column(1).slice(k, m - k)).astype(np.float32).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, m - k), pa.array(model.score(x))], names=["row", "score"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"row {docs.schema.simpleString()}, score double")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = persist_table(statistics_table(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "ql-stats")
     model = fit(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
