@@ -11,16 +11,17 @@ from .common import persist_table
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node that has an edge (a, b); label is the same for connected nodes and differs else.
 
-    Each round points every node at its least neighbour (a partial aggregate, so a hub costs a row a task), renames both
+    Each round points every node at the least of itself and its neighbours (a partial aggregate, so a hub costs a row a task), renames both
     ends of all edges and drops those that have become loops; stars fall in one or two rounds, paths in about log2 of
     their length. Rounds are written to the shared folder. No edges: no rows."""
-    e = persist_table(edges.select("a", "b").where("a <> b").distinct(), "cc-edges")
-    labels = persist_table(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().select("node", F.col("node").alias("label")), "cc-labels")
-    while not e.isEmpty():
+    e, labels = edges.select("a", "b").where("a <> b"), None
+    while labels is None or not e.isEmpty():
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        point = persist_table(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")).where("p <> u"), "cc-points")
-        pa, pb = point.toDF("a", "pa"), point.toDF("b", "pb")
-        e = e.join(pa, "a", "left").select(F.coalesce("pa", "a").alias("a"), "b").join(pb, "b", "left").select("a", F.coalesce("pb", "b").alias("b"))
-        e = persist_table(e.where("a <> b").distinct(), "cc-edges")
-        labels = persist_table(labels.join(point.toDF("label", "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "cc-labels")
+        point = persist_table(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "cc-points")
+        moved = e.join(point.toDF("a", "pa"), "a").join(point.toDF("b", "pb"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        if labels is None:
+            labels = point.toDF("node", "label")
+        else:
+            labels = persist_table(labels.join(point.toDF("label", "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "cc-labels")
+        e = persist_table(moved.where("a <> b").distinct(), "cc-edges")
     return labels

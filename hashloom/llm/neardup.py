@@ -6,10 +6,10 @@ round that reaches it. Every coordinate thus fills even for one-element sets, an
 resemblance with the concentration of sampling without replacement. BANDS bands of ROWS coordinates select candidates: at
 similarity 0.8 no band agrees with probability (1 - 0.8^6)^42 < 3e-6.
 
-Equal sets are one class. In each bucket of a band, members are verified against the bucket's least member; what is then
-still in several components is compared across components by sketch, in blocks of bounded size, and pairs whose estimate
-is within five deviations of the threshold are verified too. So groups of near copies cost rows in proportion to their
-size, nothing is capped, and every link is confirmed on full sets.
+Equal sets are one node (keys and shingles are 64-bit hashes). Each node is verified against the least member of all its
+buckets. Where a bucket then still holds several components, its members are compared across components, in blocks of bounded
+size: pairs whose sketches agree to within five deviations of the threshold are verified too. So groups of near copies cost
+rows in proportion to their size, nothing is capped, and every link is confirmed on full sets.
 
 Defined results: null, empty and word-less texts have the empty set, are linked with nothing and are their own
 component; repeated rows each get a row; a component's id is its least non-null doc_id; a null doc_id is never kept unless
@@ -33,7 +33,7 @@ COORDS = BANDS * ROWS
 CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 4096
 BLOCK = 512
-HUB = 256
+SALTS = 256
 SIGMAS = 5
 
 _b = np.arange(256)
@@ -105,17 +105,14 @@ def band_keys(sk: np.ndarray) -> np.ndarray:
     return h
 
 
-def set_keys(elements: np.ndarray, offs: np.ndarray) -> list[bytes | None]:
-    """128-bit keys of sets, None for the empty one."""
+def set_keys(elements: np.ndarray, offs: np.ndarray) -> list[int | None]:
+    """64-bit keys of sets, None for the empty one."""
     sizes = np.diff(offs)
-    out = np.zeros((len(sizes), 2), U64)
+    out = np.zeros(len(sizes), U64)
     full = sizes > 0
     if full.any():
-        at = offs[:-1][full]
-        for k, c in enumerate((0x1D8E4E27C47D124F, 0x6A5D39EAE12657AA)):
-            out[full, k] = mix64(np.add.reduceat(mix64(elements ^ U64(c)), at) + sizes[full].astype(U64))
-    raw = out.tobytes()
-    return [raw[16 * i : 16 * i + 16] if f else None for i, f in enumerate(full.tolist())]
+        out[full] = mix64(np.add.reduceat(mix64(elements ^ U64(0x1D8E4E27C47D124F)), offs[:-1][full]) + sizes[full].astype(U64))
+    return [k if f else None for k, f in zip(out.view(np.int64).tolist(), full.tolist(), strict=True)]
 
 
 def _chunks(col: pa.Array) -> Iterator[tuple[int, int]]:
@@ -125,144 +122,160 @@ def _chunks(col: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def sketch_table(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch, bands): node is the set's key; sketch has a byte a coordinate; both are null for empty sets."""
+    """(doc_id, n_shingles, node, bands): node is the set's key, null for the empty set; bands are null too where the task has given the set's before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for i, j in _chunks(b.column(1)):
                 el, offs = shingle_sets(b.column(1).slice(i, j - i), words)
-                sk = sketches(el, offs)
                 keys = set_keys(el, offs)
-                small = mix64(sk).astype(np.uint8).tobytes()
-                bands = band_keys(sk).view(np.int64)
-                none = [k is None for k in keys]
-                flat = pa.array(bands[~np.array(none)].ravel(), pa.int64())
-                loffs = np.zeros(j - i + 1, np.int32)
-                np.cumsum([0 if x else BANDS for x in none], out=loffs[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.array(keys, pa.binary()), pa.array([None if x else small[COORDS * k : COORDS * (k + 1)] for k, x in enumerate(none)], pa.binary()), pa.ListArray.from_arrays(pa.array(loffs), flat)],
-                    names=["doc_id", "n_shingles", "node", "sketch", "bands"],
-                )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, sketch binary, bands array<long>")
-
-
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) of nodes whose full sets have den * intersection >= num * union.
-
-    Only the texts of nodes in pairs are read again; a node in many pairs (a hub, as `a`) is copied once for each HUB of them,
-    so its pairs spread over tasks."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = persist_table(need.join(classes.select("node", "rep"), "node"), "nd-need")
+                fresh = np.zeros(j - i, bool)
+                for k, x in enumerate(keys):
+                    if x is not None and x not in seen:
+                        seen.add(x)
+                        fresh[k] = True
+                sizes = np.diff(offs)
+                bands = band_keys(sketches(el[np.repeat(fresh, sizes)], np.concatenate([[0], np.cumsum(sizes[fresh])])))
+                loffs = np.concatenate([[0], np.cumsum(fresh * BANDS)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(loffs), pa.array(bands.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes), pa.array(keys, pa.int64()), lists], names=["doc_id", "n_shingles", "node", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
+
+
+def full_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+    """(node, sketch, elements) of the nodes in need(node, rep): their texts are read again, other texts are not."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = need.select("rep").distinct()
-    text = text.join(ids, text["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
+    text = text.join(need.select("rep"), text["doc_id"].eqNullSafe(need["rep"]), "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for i, j in _chunks(b.column(0)):
                 el, offs = shingle_sets(b.column(0).slice(i, j - i), words)
-                raw = el.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(el, offs), pa.binary()), pa.array([raw[8 * x : 8 * y] for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.binary())], names=["node", "elements"])
-
-    found = text.mapInArrow(sets, "node binary, elements binary").where("node is not null")
-    found = persist_table(found.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"]), "nd-sets")
-    hubs = persist_table(pairs.groupBy("a").count().where(F.col("count") > HUB).select("a", F.ceil(F.col("count") / HUB).cast("int").alias("salts")), "nd-hubs")
-    salted = pairs.join(hubs, "a", "left").select("a", "b", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int")).otherwise(0).alias("salt"))
-    heads = pairs.select("a").distinct().join(hubs, "a", "left").select("a", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    heads = heads.join(found.toDF("a", "set_a"), "a")
-    both = salted.join(found.toDF("b", "set_b"), "b").join(heads, ["a", "salt"]).select("a", "b", "set_a", "set_b")
+                raw, small = el.tobytes(), mix64(sketches(el, offs)).astype(np.uint8).tobytes()
+                out = []
+                for k, (node, x, y) in enumerate(zip(set_keys(el, offs), offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+                    if node is not None and node not in seen:
+                        seen.add(node)
+                        out.append((node, small[COORDS * k : COORDS * (k + 1)], raw[8 * x : 8 * y]))
+                cols = list(zip(*out, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["node", "sketch", "elements"])
+
+    found = text.mapInArrow(sets, "node long, sketch binary, elements binary")
+    return found.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets have den * intersection >= num * union."""
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets are linked. Pairs of a hub, which is `a`, are dealt by SALTS salts, each with a copy of the hub's set; a node in few pairs has no more copies than pairs."""
+    own = sets.select("node", "elements")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    heads = salted.select("a", "salt").distinct().join(own.toDF("a", "set_a"), "a")
+    both = salted.join(own.toDF("b", "set_b"), "b").join(heads, ["a", "salt"]).select("a", "b", "set_a", "set_b")
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
+            keep = [_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), num, den) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return persist_table(both.mapInArrow(hold, "a binary, b binary"), "nd-edges")
+    return persist_table(both.mapInArrow(hold, "a long, b long"), "nd-edges")
 
 
-def _across(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes in one bucket but in different components whose sketches agree often enough to be worth verifying.
+def _across(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket: members(key, band, node, comp), verified on full sets.
 
-    members(key, node, comp); classes has the nodes' sketches. In each bucket, those outside its largest component (all of them stragglers) meet
-    all members, block by block of about BLOCK rows; a task holds one block of each."""
+    In each bucket, those outside its largest component (all of them stragglers) meet all members, block by block of about BLOCK rows; a
+    task holds one block of each. Pairs whose sketches agree well are tested, the likeliest first, in the first bucket they
+    share; pairs of components that a link of the block has joined need no more, so links come about one a component."""
     per = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"))
     per = persist_table(per.where("m > top").select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int").alias("ns")), "nd-buckets")
-    rows = persist_table(members.join(per, "key"), "nd-mixed").join(classes.select("node", "n", "sketch"), "node")
+    rows = members.join(per, "key").join(sets, "node")
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     bm, bs = F.pmod(F.xxhash64("node"), F.col("nm").cast("long")), F.pmod(F.xxhash64("node", F.lit(7)), F.col("ns").cast("long"))
-    whole = rows.select("key", "node", "comp", "n", "sketch", F.lit(False).alias("straggler"), F.explode(F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: cell(bm, j))).alias("cell"))
-    rest = rows.where("comp <> main").select("key", "node", "comp", "n", "sketch", F.lit(True).alias("straggler"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: cell(i, bs))).alias("cell"))
-    cells = whole.union(rest).select("key", "cell.i", "cell.j", "node", "comp", "n", "sketch", "straggler")
+    cells_of = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: cell(bm, j))
+    # a straggler stands among the members of its block and, in every block, on the other side
+    cells_too = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: cell(i, bs))
+    either = F.when(F.col("comp") != F.col("main"), F.array_union(cells_of, cells_too)).otherwise(cells_of)
+    cells = rows.select("key", "band", "node", "comp", (F.col("comp") != F.col("main")).alias("straggler"), "sketch", "elements", F.explode(either).alias("cell"))
+    cells = cells.select("key", "cell.i", "cell.j", "band", "node", "comp", "straggler", "sketch", "elements")
     cells = cells.repartition(shuffle_width(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    least = num / den
-    least = int(np.floor(COORDS * (least - SIGMAS * np.sqrt(least * (1 - least) / COORDS))))
+    share = num / den
+    least = int(np.floor(COORDS * (share - SIGMAS * np.sqrt(share * (1 - share) / COORDS))))
+
+    def links(group: list) -> list[tuple[int, int]]:
+        s = [k for k, r in enumerate(group) if r[3]]
+        if not s or len(group) < 2:
+            return []
+        sk = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), COORDS)
+        size = np.array([len(r[5]) // 8 for r in group])
+        comp, band = np.array([r[2] for r in group]), group[0][0]
+        tests = []
+        for k in s:
+            same = sk == sk[k]
+            agree = same.sum(axis=1)
+            ok = (agree >= least) & (den * np.minimum(size, size[k]) >= num * np.maximum(size, size[k])) & (comp != comp[k])
+            at = np.flatnonzero(ok)
+            if len(at):
+                first = same[at].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                tests += [(-int(agree[m]), k, m) for m, f in zip(at.tolist(), first.tolist(), strict=True) if f == band]
+        tests.sort()
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        out = []
+        for _, k, m in tests:
+            x, y = top(group[k][2]), top(group[m][2])
+            if x != y and _linked(np.frombuffer(group[k][5], U64), np.frombuffer(group[m][5], U64), num, den):
+                root[max(x, y)] = min(x, y)
+                out.append((group[k][1], group[m][1]))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(group):
-            s, m = [r for r in group if r[4]], [r for r in group if not r[4]]
-            if not s or not m:
-                return
-            ms = np.frombuffer(b"".join(r[3] for r in m), np.uint8).reshape(len(m), COORDS)
-            mn = np.array([r[2] for r in m])
-            for node, comp, n, sk, _ in s:
-                ok = ((ms == np.frombuffer(sk, np.uint8)).sum(axis=1) >= least) & (den * np.minimum(mn, n) >= num * np.maximum(mn, n))
-                for k in np.flatnonzero(ok).tolist():
-                    if m[k][1] != comp:
-                        out.append((min(node, m[k][0]), max(node, m[k][0])))
-
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
-
         at, group, out = None, [], []
         for b in batches:
             for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, i, j) != at:
-                    emit(group)
+                    out += links(group)
                     at, group = (key, i, j), []
-                    if len(out) > 10000:
-                        yield batch()
-                        out = []
                 group.append(row)
-        emit(group)
-        yield batch()
+        out += links(group)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return cells.mapInArrow(run, "a binary, b binary").distinct()
+    return persist_table(cells.mapInArrow(run, "a long, b long"), "nd-across")
 
 
 def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) for each row of docs(doc_id, text), and (node, component_id, comp) for the nodes that have copies or links."""
     table = persist_table(sketch_table(docs, words), "nd-table")
-    full = table.where("node is not null")
-    classes = full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    classes = persist_table(classes, "nd-classes")
-    # buckets hold 8-byte names of nodes; should two nodes share one, both are verified
-    name = F.xxhash64("node")
-    exploded = classes.select(name.alias("nid"), F.explode("bands").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.min("nid").alias("leader"), F.max("nid").alias("last")).where("leader < last").select("key", "leader")
-    members = persist_table(exploded.join(persist_table(buckets, "nd-leaders"), "key"), "nd-members")
-    names = persist_table(classes.select(name.alias("nid"), "node").join(members.select("nid").distinct(), "nid"), "nd-names")
-    pairs = members.where("nid <> leader").select("leader", "nid").distinct()
-    pairs = pairs.join(names.toDF("leader", "a"), "leader").join(names.toDF("nid", "b"), "nid").select("a", "b")
-    pairs = persist_table(pairs.where("a <> b"), "nd-pairs")
-    edges = verify(pairs, docs, classes, words, num, den)
+    exploded = table.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
+    leaders = exploded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
+    members = persist_table(exploded.join(persist_table(leaders, "nd-leaders"), "key").distinct(), "nd-members")
+    reps = table.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    sets = persist_table(full_sets(docs, persist_table(reps, "nd-need"), words), "nd-sets")
+    # every node against the least leader of its buckets; in groups of near copies that is one node for nearly all
+    pairs = members.groupBy("node").agg(F.min("leader").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
+    edges = verify(persist_table(pairs, "nd-pairs"), sets, num, den)
     labels = connected_components(edges)
-    comps = names.join(labels, "node", "left").select("nid", "node", F.coalesce("label", "node").alias("comp"))
-    inside = members.select("key", "nid").join(persist_table(comps, "nd-comps"), "nid").select("key", "node", "comp")
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = persist_table(_across(inside, classes, num, den).join(known, ["a", "b"], "left_anti"), "nd-more")
+    inside = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("comp"))
+    more = _across(persist_table(inside, "nd-inside"), sets, num, den)
     if not more.isEmpty():
-        edges = edges.union(verify(more, docs, classes, words, num, den))
-        labels = connected_components(edges)
-    # only classes with copies or links need a component id from elsewhere
-    some = classes.select("node", "rep", "copies").join(labels, "node", "left").where("copies > 1 or label is not null").withColumn("comp", F.coalesce("label", "node"))
+        labels = connected_components(edges.union(more))
+    # only sets with copies or links need a component id from elsewhere
+    some = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    some = some.join(labels, "node", "left").where("copies > 1 or label is not null").withColumn("comp", F.coalesce("label", "node"))
     least = some.groupBy("comp").agg(F.min("rep").alias("component_id"))
     return table, persist_table(some.select("node", "comp").join(least, "comp").select("node", "component_id", "comp"), "nd-ids")
 
@@ -283,10 +296,10 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
         for b in batches:
             for i, j in _chunks(b.column(1)):
                 keys = set_keys(*shingle_sets(b.column(1).slice(i, j - i), words))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys, pa.binary())], names=["row", "node"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys, pa.int64())], names=["row", "node"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(tag, f"row {docs.schema.simpleString()}, node binary").join(ids, "node", "left")
+    rows = rows.mapInArrow(tag, f"row {docs.schema.simpleString()}, node long").join(ids, "node", "left")
     rows = rows.where("comp is null or row.doc_id <=> component_id")
     # few rows are left of each group, so the last step moves a row a group
     return rows.where("comp is null").select("row.*").unionByName(rows.where("comp is not null").dropDuplicates(["comp"]).select("row.*"))
