@@ -1,11 +1,332 @@
-"""Registered queries of the keyed-table engine and their SQL."""
+"""Registered queries of the keyed-table engine over the test tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import hashing, kmers
+from ..operators import joins, kv, stats
+from ..session import table
+from ..sources import fastq, generate, text
+from ..streaming import upserts
 
-def oracle_sql() -> dict:
-    return {}
+K = 3
+HT_SIZE = 1 << 20
+BITS = 10
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"), F.col("o_orderkey").alias("seq"))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Probe rows."""
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("value"))
+
+
+def _build(spark: SparkSession, d: str) -> DataFrame:
+    """Build rows: orders above a price."""
+    return table(spark, d, "orders").where("o_totalprice > 150000").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value"), F.col("o_orderkey").alias("seq"))
+
+
+def kmer_count(spark, d):
+    return kmers.kmer_counts(table(spark, d, "documents"), "text", K)
+
+
+def kmer_topk(spark, d):
+    return kmers.kmer_top(table(spark, d, "documents"), "text", K, 20)
+
+
+def kmer_distinct(spark, d):
+    return kmers.kmer_distinct(table(spark, d, "documents"), "text", K)
+
+
+def kmer_long_reads(spark, d):
+    return kmers.kmer_counts(table(spark, d, "pages").select(F.col("html").alias("text")), "text", 4)
+
+
+def kmer_code_round_trip(spark, d):
+    c = kmers.kmer_counts(table(spark, d, "documents"), "text", 4)
+    return c.select("kmer", kmers.decode(F.col("code"), 4).alias("decoded"), "code")
+
+
+def kmer_code_histogram(spark, d):
+    return stats.code_histogram(kmers.kmers(table(spark, d, "documents"), "text", K), "code", 16, 0, 64)
+
+
+def upsert_last(spark, d):
+    return kv.upsert(_orders(spark, d), "last")
+
+
+def insert_first(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq"))
+    return kv.upsert(rows, "first")
+
+
+def upsert_count(spark, d):
+    return kv.upsert(_orders(spark, d), "count")
+
+
+def upsert_merge(spark, d):
+    old = kv.upsert(_orders(spark, d).where("value % 2 = 0"), "last")
+    return kv.merge(old, _orders(spark, d).where("value % 2 = 1"), "last")
+
+
+def kv_lookup(spark, d):
+    requests = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"))
+    return kv.lookup(requests, kv.upsert(_orders(spark, d), "last"))
+
+
+def kv_partition_lookup(spark, d):
+    rows = _orders(spark, d).withColumn("part_id", hashing.radix(F.col("key"), 4))
+    tables = rows.groupBy("part_id", "key").agg(kv.combiner("last").alias("value"))
+    requests = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key")).withColumn("part_id", hashing.radix(F.col("key"), 4))
+    return kv.partition_lookup(requests, tables)
+
+
+def kv_direct_index(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") - 1).cast("long").alias("value"))
+    return kv.direct_index(parts)
+
+
+def kv_fill(spark, d):
+    return kv.table_stats(_orders(spark, d), HT_SIZE)
+
+
+def kv_upsert_find(spark, d):
+    return kv.upsert_then_find(table(spark, d, "events").select(F.col("user_id").alias("key")), 2, 3)
+
+
+def kv_dump(spark, d):
+    return kv.dump_lines(kv.upsert(_orders(spark, d), "last"))
+
+
+def kv_routed_upsert(spark, d):
+    return kv.upsert(kv.routed(_orders(spark, d), 8), "last")
+
+
+def hashjoin_found(spark, d):
+    return joins.found(_lines(spark, d), _build(spark, d))
+
+
+def hashjoin_found_broadcast(spark, d):
+    return joins.found(_lines(spark, d), _build(spark, d), "broadcast")
+
+
+def hashjoin_found_merge(spark, d):
+    return joins.found(_lines(spark, d), _build(spark, d), "merge")
+
+
+def hashjoin_materialize(spark, d):
+    return joins.materialize(_lines(spark, d), _build(spark, d))
+
+
+def hashjoin_duplicates(spark, d):
+    probe = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value"))
+    return joins.materialize(probe, _orders(spark, d), "shuffle_hash")
+
+
+def hashjoin_unmatched(spark, d):
+    return joins.unmatched(_lines(spark, d), _build(spark, d)).groupBy("key").agg(F.count("*").alias("cnt"))
+
+
+def hit_rate(spark, d):
+    return joins.hit_rate(_lines(spark, d), _build(spark, d))
+
+
+def radix_histogram(spark, d):
+    return joins.radix_histogram(_lines(spark, d), BITS)
+
+
+def radix_join(spark, d):
+    return joins.radix_join(_lines(spark, d), _build(spark, d), BITS)
+
+
+def key_skewness(spark, d):
+    return table(spark, d, "lineitem").agg(stats.skewness(F.col("l_quantity")).alias("skewness"))
+
+
+def freq_cdf(spark, d):
+    return stats.frequency_cdf(stats.frequencies(table(spark, d, "events"), "user_id"))
+
+
+def cdf_batches(spark, d):
+    return stats.cdf_batches(stats.frequencies(table(spark, d, "events"), "user_id"))
+
+
+def zipf_slope(spark, d):
+    return stats.zipf_slope(stats.frequencies(table(spark, d, "events"), "user_id"))
+
+
+def collision_rate(spark, d):
+    return stats.collision_rate(table(spark, d, "events"), "user_id")
+
+
+def mixed_read_write(spark, d):
+    return kv.mixed_ops(_op_log(spark, d), ["ts", "event_id"]).drop("ts")
+
+
+def mixed_read_write_counts(spark, d):
+    return kv.mixed_counts(_op_log(spark, d), seq=["ts", "event_id"])
+
+
+def _op_log(spark, d):
+    """Events as an operation log in the order of time and id: even ids write their id, odd ones read."""
+    return table(spark, d, "events").select("ts", "event_id", F.when(F.pmod("event_id", F.lit(2)) == 0, "w").otherwise("r").alias("op"), F.col("user_id").alias("key"), F.col("event_id").alias("value"))
+
+
+def csv_first_field(spark, d):
+    lines = table(spark, d, "customer").select(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment").alias("value"))
+    return text.keyed_rows(lines, "|")
+
+
+def scalar_functions(spark, d):
+    k = F.col("l_orderkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hashing.multiply_wrap(k).alias("hashed"), hashing.next_pow2(k).alias("pow2"), hashing.fast_range(k, 1000).alias("ranged"), hashing.radix(k, 6).alias("digit"), hashing.round_up(k, 64).alias("up"), hashing.round_down(k, 64).alias("down"))
+
+
+def span_parts(spark, d):
+    parts = table(spark, d, "part")
+    n = parts.count()
+    return text.with_part(parts.select((F.col("p_partkey") - 1).alias("row_id")), 7, "row_id", n).groupBy("part_id").agg(F.count("*").alias("cnt"))
+
+
+def relation_files(spark, d):
+    """Join of two relation files, written from orders and lineitem."""
+    root = f"{_scratch(spark)}/relations-{uuid.uuid4().hex}"
+    text.write_relation(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value")), f"{root}/r")
+    text.write_relation(_lines(spark, d), f"{root}/s")
+    return joins.join_files(spark, f"{root}/r", f"{root}/s")
+
+
+def fastq_kmers(spark, d):
+    """Documents written as FASTQ and read back by the data source, then counted."""
+    root = f"{_scratch(spark)}/fastq-{uuid.uuid4().hex}"
+    reads = table(spark, d, "documents").select(F.col("doc_id").alias("seq_no"), F.col("doc_id").cast("string").alias("header"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "N").alias("seq"))
+    body = F.concat(F.lit("@"), "header", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    reads.select(body.alias("value")).write.text(root)
+    return kmers.kmer_counts(fastq.read_fastq(spark, root), "seq", K)
+
+
+def stream_upsert(spark, d):
+    """Orders streamed into a table that must equal the batch upsert."""
+    root = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    _orders(spark, d).repartition(3).write.parquet(f"{root}/in")
+    upserts.run_to_table(upserts.read_rows(spark, f"{root}/in"), f"{root}/table", f"{root}/state")
+    return upserts.read_table(spark, f"{root}/table")
+
+
+def gen_zipf(spark, d):
+    n = table(spark, d, "events").count()
+    return stats.frequencies(generate.zipf(spark, n, 1000, 1.1, 7), "rank")
+
+
+def gen_uniform(spark, d):
+    return generate.uniform_keys(spark, table(spark, d, "events").count(), 7)
+
+
+def gen_join(spark, d):
+    n = table(spark, d, "orders").count()
+    r, s = generate.join_relations(spark, n, 2 * n, 0.0, 0.7, 7)
+    return joins.hit_rate(s, r)
+
+
+def kmer_sample(spark, d):
+    return generate.bernoulli(kmers.kmers(table(spark, d, "documents"), "text", K).select("code"), 0.25, 7)
+
+
+def _scratch(spark: SparkSession) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        import tempfile
+
+        at = tempfile.mkdtemp(prefix="hashloom-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/hashloom"
+
+
+_KMERS = """
+WITH r AS (SELECT unnest(regexp_split_to_array(upper({col}), '[^ACGT]+')) AS r FROM {table}),
+w AS (SELECT unnest(list_transform(generate_series(1, length(r) - {k} + 1), lambda i: substr(r, i, {k}))) AS kmer FROM r WHERE length(r) >= {k}),
+c AS (SELECT kmer, CAST(list_sum(list_transform(generate_series(1, {k}), lambda i: (strpos('ACGT', substr(kmer, i, 1)) - 1) * (1 << (2 * ({k} - i))))) AS BIGINT) AS code, count(*) AS cnt FROM w GROUP BY kmer)
+"""
+
+
+def _kmers_sql(tail: str, k: int = K, col: str = "text", name: str = "documents") -> str:
+    return _KMERS.format(k=k, col=col, table=name) + tail
+
+
+_LAST = "SELECT o_custkey AS key, arg_max(o_orderkey, o_orderkey) AS value FROM orders GROUP BY o_custkey"
+_BUILD = "SELECT * FROM orders WHERE o_totalprice > 150000"
+_FREQ = "SELECT user_id AS key, count(*) AS cnt FROM events GROUP BY user_id"
+_FOUND = f"SELECT count(*) AS found FROM lineitem WHERE EXISTS (SELECT 1 FROM ({_BUILD}) b WHERE b.o_orderkey = l_orderkey)"
+_LOG = "SELECT ts, event_id, CASE WHEN event_id % 2 = 0 THEN 'w' ELSE 'r' END AS op, user_id AS key, event_id AS value FROM events"
+_READ = f"""WITH l AS ({_LOG}), s AS (SELECT event_id, op, key, last_value(CASE WHEN op = 'w' THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS value FROM l)"""
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        kmer_count, kmer_topk, kmer_distinct, kmer_long_reads, kmer_code_round_trip, kmer_code_histogram, kmer_sample, fastq_kmers,
+        upsert_last, insert_first, upsert_count, upsert_merge, kv_lookup, kv_partition_lookup, kv_direct_index, kv_fill, kv_upsert_find, kv_dump, kv_routed_upsert,
+        hashjoin_found, hashjoin_found_broadcast, hashjoin_found_merge, hashjoin_materialize, hashjoin_duplicates, hashjoin_unmatched, hit_rate, radix_histogram, radix_join, relation_files,
+        key_skewness, freq_cdf, cdf_batches, zipf_slope, collision_rate, mixed_read_write, mixed_read_write_counts, csv_first_field, scalar_functions, span_parts, stream_upsert,
+        gen_zipf, gen_uniform, gen_join,
+    )
+}
+
+_SQL = {
+    "kmer_count": _kmers_sql("SELECT kmer, code, cnt FROM c"),
+    "fastq_kmers": _kmers_sql("SELECT kmer, code, cnt FROM c"),
+    "kmer_topk": _kmers_sql("SELECT kmer, code, cnt FROM c ORDER BY cnt DESC, code DESC LIMIT 20"),
+    "kmer_distinct": _kmers_sql("SELECT CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total, count(*) AS n_distinct, count(*) FILTER (WHERE code <> 0) AS fill FROM c"),
+    "kmer_long_reads": _kmers_sql("SELECT kmer, code, cnt FROM c", 4, "html", "pages"),
+    "kmer_code_round_trip": _kmers_sql("SELECT kmer, kmer AS decoded, code FROM c", 4),
+    "kmer_code_histogram": _kmers_sql("SELECT code // 4 + 1 AS bucket, CAST(sum(cnt) AS BIGINT) AS cnt FROM c GROUP BY 1"),
+    "upsert_last": _LAST,
+    "kv_routed_upsert": _LAST,
+    "insert_first": "SELECT o_custkey AS key, arg_min(o_totalprice, o_orderkey) AS value FROM orders GROUP BY o_custkey",
+    "upsert_count": "SELECT o_custkey AS key, count(*) AS value FROM orders GROUP BY o_custkey",
+    "upsert_merge": "SELECT o_custkey AS key, coalesce(max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END), max(o_orderkey)) AS value FROM orders GROUP BY o_custkey",
+    "kv_lookup": f"SELECT event_id AS id, t.value FROM events JOIN ({_LAST}) t ON t.key = user_id",
+    "kv_partition_lookup": f"SELECT event_id AS id, t.value FROM events JOIN ({_LAST}) t ON t.key = user_id",
+    "kv_direct_index": "SELECT p_partkey AS key, CAST(p_size - 1 AS BIGINT) AS value FROM part WHERE p_size <> 1",
+    "kv_fill": f"SELECT count(DISTINCT o_custkey) FILTER (WHERE o_custkey <> 0) AS fill, count(DISTINCT o_custkey) AS n_distinct, max(o_orderkey) AS max_value, CAST({HT_SIZE} AS BIGINT) AS capacity, count(DISTINCT o_custkey) FILTER (WHERE o_custkey <> 0) / CAST({HT_SIZE} AS DOUBLE) AS load_factor FROM orders",
+    "kv_upsert_find": "SELECT 2 * count(*) AS inserted, 3 * count(*) AS found, count(DISTINCT user_id) FILTER (WHERE user_id <> 0) AS fill FROM events",
+    "kv_dump": f"SELECT '{{' || key || ': ' || value || '}}' AS value FROM ({_LAST})",
+    "hashjoin_found": _FOUND,
+    "hashjoin_found_broadcast": _FOUND,
+    "hashjoin_found_merge": _FOUND,
+    "hashjoin_materialize": f"SELECT l_orderkey AS k, l_partkey AS v1, b.v2 FROM lineitem JOIN (SELECT o_orderkey, arg_max(o_custkey, o_orderkey) AS v2 FROM ({_BUILD}) GROUP BY o_orderkey) b ON b.o_orderkey = l_orderkey",
+    "hashjoin_duplicates": f"SELECT user_id AS k, event_id AS v1, t.value AS v2 FROM events JOIN ({_LAST}) t ON t.key = user_id",
+    "hashjoin_unmatched": f"SELECT l_orderkey AS key, count(*) AS cnt FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM ({_BUILD}) b WHERE b.o_orderkey = l_orderkey) GROUP BY l_orderkey",
+    "hit_rate": f"SELECT avg(CASE WHEN EXISTS (SELECT 1 FROM ({_BUILD}) b WHERE b.o_orderkey = l_orderkey) THEN 1.0::DOUBLE ELSE 0.0 END) AS hit_rate FROM lineitem",
+    "radix_histogram": f"SELECT l_orderkey & {2**BITS - 1} AS p, count(*) AS cnt FROM lineitem GROUP BY 1",
+    "radix_join": f"SELECT l_orderkey & {2**BITS - 1} AS p, count(*) AS found FROM lineitem WHERE EXISTS (SELECT 1 FROM ({_BUILD}) b WHERE b.o_orderkey = l_orderkey) GROUP BY 1",
+    "relation_files": "SELECT l_orderkey AS k, l_partkey AS v1, o.v2 FROM lineitem JOIN (SELECT o_orderkey, max(o_custkey) AS v2 FROM orders GROUP BY o_orderkey) o ON o.o_orderkey = l_orderkey",
+    "freq_cdf": f"SELECT key, cnt, row_number() OVER w AS rk, CAST(sum(cnt) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum FROM ({_FREQ}) WINDOW w AS (ORDER BY cnt DESC, key)",
+    "collision_rate": "SELECT 1.0::DOUBLE - count(DISTINCT user_id) / CAST(count(*) AS DOUBLE) AS collision_rate FROM events",
+    "mixed_read_write": _READ + " SELECT event_id, key, value FROM s WHERE op = 'r'",
+    "mixed_read_write_counts": _READ + " SELECT count(*) FILTER (WHERE op = 'r') AS n_reads, count(*) FILTER (WHERE op = 'w') AS n_writes, count(value) FILTER (WHERE op = 'r') AS n_found FROM s",
+    "csv_first_field": "SELECT c_custkey AS key, c_custkey || '|' || c_name || '|' || c_mktsegment AS line FROM customer",
+    "scalar_functions": """SELECT l_orderkey, l_linenumber,
+      CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hashed,
+      CASE WHEN l_orderkey <= 1 THEN 1 ELSE CAST(pow(2, length(ltrim(bin(l_orderkey - 1), '0'))) AS BIGINT) END AS pow2,
+      ((l_orderkey & 4294967295) * 1000) >> 32 AS ranged, l_orderkey & 63 AS digit, (l_orderkey + 63) // 64 * 64 AS up, l_orderkey // 64 * 64 AS down
+      FROM (SELECT *, (CAST(l_orderkey AS HUGEINT) * 11400714819323198485) % 18446744073709551616 AS h FROM lineitem)""",
+    "span_parts": "WITH n AS (SELECT count(*) AS n FROM part) SELECT CAST(least((p_partkey - 1) // (n // 7), 6) AS INTEGER) AS part_id, count(*) AS cnt FROM part, n GROUP BY 1",
+    "stream_upsert": "SELECT o_custkey AS key, max(o_orderkey) AS value, count(*) AS n FROM orders GROUP BY o_custkey",
+    "key_skewness": "SELECT coalesce((avg(q * q * q) - 3 * avg(q) * avg(q * q) + 2 * pow(avg(q), 3)) / pow(avg(q * q) - pow(avg(q), 2), 1.5), 0) AS skewness FROM (SELECT l_quantity AS q FROM lineitem)",
+    "zipf_slope": f"SELECT -regr_slope(ln(cnt), ln(rk)) AS slope FROM (SELECT cnt, row_number() OVER (ORDER BY cnt DESC, key) AS rk FROM ({_FREQ}))",
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
