@@ -28,16 +28,15 @@ ORACLE_SQL = None
 
 
 def _with_text(docs: DataFrame, text) -> list:
-    """The columns of docs with another text, and n_chars to match."""
+    """The columns of docs, out of struct `row`, with another text, and n_chars to match."""
     out = []
     for c in docs.columns:
+        own = F.col(f"row.`{c}`")
         if c == "text":
-            out.append(text.alias(c))
+            own = text
         elif c == "n_chars":
-            old = F.col("`n_chars`")
-            out.append(F.when(text.eqNullSafe(F.col("text")), old).otherwise(F.char_length(text).cast(docs.schema[c].dataType)).alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
+            own = F.when(text.eqNullSafe(F.col("row.text")), own).otherwise(F.char_length(text).cast(docs.schema[c].dataType))
+        out.append(own.alias(c))
     return out
 
 
@@ -53,12 +52,12 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    clean = found.where(~((F.col("found.n_hit") > 0) & (20 * F.col("found.n_hit") >= F.col("found.n_words")))).select("row.*", F.col("found.cut_text").alias("__cut"))
-    return clean.select(*_with_text(docs, F.coalesce("__cut", "text")))
+    hit, words = F.col("found.n_hit"), F.col("found.n_words")
+    return found.where(~((hit > 0) & (20 * hit >= words))).select(*_with_text(docs, F.coalesce("found.cut_text", "row.text")))
 
 
 def stage_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.find(docs).select(*_with_text(docs, pii.redacted(F.col("text"))))
+    return pii.find(docs).select(*_with_text(docs, pii.redacted(F.col("row.text"))))
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

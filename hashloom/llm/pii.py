@@ -13,7 +13,7 @@ Candidates whose value ends at ACCEPT or more become spans of kind `id`, in what
 overlap a base span. Counts are over all texts; patterns and instances stay distributed.
 
 Defined results: null is the empty text, which has no spans; repeated rows each get theirs; offsets are code points,
-ends exclusive; kinds are ordered as in KINDS, then by start; an empty table gives no rows; extra columns pass through find().
+ends exclusive; kinds are ordered as in KINDS, then by start; an empty table gives no rows; extra columns, whatever their names, pass through find().
 The patterns below are the base ones written so that long runs cost linear time; they match the same spans.
 """
 
@@ -94,10 +94,11 @@ def _candidates(text: Column) -> Column:
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept: float = ACCEPT, keep_text: bool = True) -> DataFrame:
-    """docs (less text, unless keep_text) with struct column `pii`: for each of KINDS its spans, an array of (b, e)."""
+    """(row, pii): docs' columns (less text, unless keep_text) in struct `row`, and for each of KINDS its spans, an array of (b, e), in struct `pii`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"]).alias("row")
     base = base_spans(F.col("__t"))
-    rows = docs.withColumn("__t", text).withColumns({**{f"__{k}": v for k, v in base.items()}, "__cand": _candidates(F.col("__t"))}).drop("__t", *([] if keep_text else ["text"]))
+    rows = docs.select(own, text.alias("__t")).withColumns({**{f"__{k}": v for k, v in base.items()}, "__cand": _candidates(F.col("__t"))}).drop("__t")
     # row numbers are drawn once, into a written table
     rows = persist_table(rows.withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
     plain = {k: F.transform(f"__{k}", lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"))) for k in KINDS[:-1]}
@@ -123,8 +124,7 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept:
     ids = cand.where("not base").join(trust.where(F.col("conf") >= accept).select("v"), "v", "left_semi")
     ids = ids.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("id"))
     out = rows.join(ids, "__row", "left")
-    kept = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"]
-    return out.select(*kept, F.struct(*[plain[k].alias(k) for k in KINDS[:-1]], F.coalesce("id", F.array().cast("array<struct<b:int,e:int>>")).alias("id")).alias("pii"))
+    return out.select("row", F.struct(*[plain[k].alias(k) for k in KINDS[:-1]], F.coalesce("id", F.array().cast("array<struct<b:int,e:int>>")).alias("id")).alias("pii"))
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -156,5 +156,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find(docs, keep_text=False)
     counts = [F.size(f"pii.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:-1]]
-    return found.select("doc_id", *counts, F.sha2(listed(KINDS[:-1]), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(listed(KINDS[:-1]), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
 
