@@ -159,7 +159,8 @@ def lattice(raw: np.ndarray, offs: np.ndarray, v: Vocabulary):
     u = unit[s]
     start, end = s + u, s + n + u
     depth = s + n - offs[u]
-    order = np.argsort(depth * (total + units + 1) + end)
+    # by depth, node and length: the order within a node, and so what a draw picks, is the unit's own
+    order = np.argsort((depth * (total + units + 1) + end) * (len(v.tables) + 1) + n)
     start, end, p, w, depth = start[order], end[order], p[order], w[order], depth[order]
     alpha = np.full(total + units, -np.inf)
     alpha[offs[:-1] + np.arange(units)] = 0.0
@@ -198,12 +199,16 @@ def sample(col: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int = 0) -> tup
     uraw = raw[np.repeat(us - uoffs[:-1], ulen) + np.arange(uoffs[-1])]
     end, start, piece, w, alpha = lattice(uraw, uoffs, v)
     prob = np.exp(alpha[start] + w - alpha[end])
-    cum = np.cumsum(prob)
     new = np.flatnonzero(np.diff(end, prepend=-1))
     size = np.diff(np.append(new, len(end)))
-    before = np.where(new > 0, cum[np.maximum(new - 1, 0)], 0.0)
-    inside = np.clip((cum - np.repeat(before, size)), 0, 1)
     last = new + size - 1
+    # running sums node by node: one over all edges would round by what else is in the chunk
+    inside, more = prob, new[size > 1]
+    k = 1
+    while len(more):
+        inside[more + k] += inside[more + k - 1]
+        k += 1
+        more = new[size > k]
     inside[last] = 2.0  # above any draw
     first_edge = np.full(len(alpha), -1, np.int64)
     first_edge[end[new]] = new
