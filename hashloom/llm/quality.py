@@ -73,7 +73,10 @@ def document_statistics(col: pa.Array) -> np.ndarray:
         np.maximum.at(most, d[at], np.diff(np.append(at, len(k))).astype(np.float64))
         return np.bincount(d[at], minlength=n).astype(np.float64), most
 
-    pair = mix64(h + np.concatenate([h[1:], np.zeros(1, U64)])[: len(h)] * U64(0x9E3779B97F4A7C15)) if len(h) else h
+    after = np.zeros(len(h), U64)  # the next word of the same text
+    if len(h) > 1:
+        after[:-1] = np.where(doc[1:] == doc[:-1], h[1:], U64(0))
+    pair = mix64(h + after * U64(0x9E3779B97F4A7C15))
     one, most = distinct(h)
     two, _ = distinct(pair)
     mean = by_doc(lens) / words
