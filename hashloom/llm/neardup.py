@@ -30,8 +30,8 @@ from .components import connected_components
 
 BANDS, ROWS = 42, 6
 COORDS = BANDS * ROWS
-CHUNK_BYTES = 4 << 20
-CHUNK_DOCS = 4096
+CHUNK_BYTES = 1 << 20
+CHUNK_DOCS = 1024
 BLOCK = 512
 SALTS = 256
 SIGMAS = 5

@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 RANK_SHIFT = 10.0
 BYTE_WEIGHT = -25.0
-CHUNK_BYTES = 3 << 19
+CHUNK_BYTES = 1 << 20
 UNUSED = -1e8
 _INVERSE = U64(pow(int(MULT), -1, 1 << 64))
 
