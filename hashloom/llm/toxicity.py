@@ -7,7 +7,7 @@ is scaled by each token's own weights; so letters between or signs inside an ins
 
 Training is on tokens of labelled texts: positives are tokens that toxic texts have and clean ones hardly ever,
 chosen so that together they explain the toxic texts;
-negatives are tokens of clean texts, those that score highest among them mined in a second round. LANDMARKS tokens give the
+the first VIRTUAL of them also with a letter put in; negatives are tokens of clean texts, those that score highest among them mined in a second round. LANDMARKS tokens give the
 Nystroem map, in which a squared-hinge machine is fitted; folded back onto subsequences it scores a token in one pass. A
 document's evidence is its worst token and the expected number of insults, for itself and against its length; logistic and
 then isotonic regression on labelled texts kept aside make it a probability.
@@ -41,6 +41,7 @@ LEAST_DOCS = 3
 IMPURE = 0.1
 SURE = 3.0
 EXPLAIN = 4
+VIRTUAL = 200
 C = 10.0
 LOWEST = -4.0
 CHUNK_BYTES = 4 << 20
@@ -246,6 +247,12 @@ def explain(pairs: list[tuple[int, int]], n: int, least: int, times: int = EXPLA
     return out
 
 
+def gapped(tokens: list[bytes], seed: int = 7) -> list[bytes]:
+    """Virtual positives: each token with one letter put in, at each inner place."""
+    rng = np.random.default_rng(seed)
+    return [t[:k] + bytes([int(rng.integers(1, 27))]) + t[k:] for t in tokens for k in range(1, len(t))]
+
+
 def signatures(col: pa.Array) -> np.ndarray:
     """For each text the least hash of its adjacent token pairs: near copies mostly share it."""
     t = Tokens(col)
@@ -346,10 +353,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, train
     n_lp = min(len(positive), LANDMARKS // 2)
     landmarks = positive[:n_lp] + [neg[i] for i in rng.choice(len(neg), min(len(neg), LANDMARKS - n_lp), replace=False)] if neg else positive[:n_lp]
     model = ToxicityModel()
+    virtual = gapped(positive[:VIRTUAL])
     for again in (False, True):
-        tokens = positive + neg
-        y_ = np.concatenate([np.ones(len(positive)), -np.ones(len(neg))])
-        cost = C * np.concatenate([weight / weight.sum() * len(tokens) / 2, np.full(len(neg), 0.5 * len(tokens) / max(1, len(neg)))])
+        tokens = positive + virtual + neg
+        y_ = np.concatenate([np.ones(len(positive) + len(virtual)), -np.ones(len(neg))])
+        half = 0.5 * len(tokens)
+        cost = C * np.concatenate([weight / weight.sum() * half, np.full(len(virtual), half / max(1, len(virtual))), np.full(len(neg), half / max(1, len(neg)))])
         model.weights, model.bias = fit_machine(tokens, y_, cost, landmarks)
         if not again:
             m = model

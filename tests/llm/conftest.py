@@ -1,5 +1,3 @@
-import zlib
-
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -36,6 +34,3 @@ def clashing(docs):
     names = ("score", "row", "found", "node", "pii", "key", "bucket", "comp", "component_id", "kept", "raw", "pieces", "stats", "__row", "__t", "__cut", "n_words", "label", "id", "block")
     return docs.select("*", *[F.lit("x").alias(n) for n in names])
 
-
-def crc_fold(doc_id, folds):
-    return zlib.crc32(str(doc_id).encode()) % folds

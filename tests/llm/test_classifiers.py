@@ -1,7 +1,8 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import crc_fold
 from pyspark.sql import functions as F
 
 from hashloom.llm import quality, toxicity
@@ -9,6 +10,10 @@ from hashloom.llm import quality, toxicity
 DATA = "/root/testdata/sf0.1"
 
 
+def crc_fold(doc_id, folds):
+    return zlib.crc32(str(doc_id).encode()) % folds
+
+
 def auc(score, y):
     order = np.argsort(score, kind="stable")
     s, y = np.asarray(score)[order], np.asarray(y)[order]
