@@ -19,7 +19,6 @@ _QUERIES = {
 
 _SQL: dict[str, str] = {
     "op2_minhash_neardup": sql.OP2,
-    "op3_subsequence_toxicity": toxicity.op3,
     "op4_warc_index": sql.OP4,
     "op9_fm_decontamination": sql.OP9,
 }

@@ -331,3 +331,9 @@ def test_pipeline_run(spark):
     whole = sum(r["text"] == docs[r["doc_id"]] for r in got)
     assert whole > 0.8 * len(got)  # most texts have nothing to take out
     assert not any(re.search(BASE["email"][0], r["text"]) for r in got)
+
+
+def test_catalogue():
+    sql = catalogue.oracle_sql()
+    assert set(sql) <= set(catalogue.queries()) and all(isinstance(v, str) for v in sql.values())
+    assert sorted(int(k[2:].split("_")[0]) for k in catalogue.queries()) == list(range(1, 11))
