@@ -34,6 +34,7 @@ CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 1024
 BLOCK = 512
 SALTS = 256
+BROADCAST_IDS = 2_000_000
 SIGMAS = 5
 
 _b = np.arange(256)
@@ -147,7 +148,10 @@ def sketch_table(docs: DataFrame, words: int) -> DataFrame:
 def full_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
     """(node, sketch, elements) of the nodes in need(node, rep): their texts are read again, other texts are not."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    text = text.join(need.select("rep"), text["doc_id"].eqNullSafe(need["rep"]), "left_semi").select("text")
+    ids = need.select("rep")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # 8 bytes each; beyond the bound the texts are shuffled instead
+    text = text.join(ids, text["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
