@@ -6,9 +6,9 @@ network adds an embedding for each of the WINDOW words on either side, applies t
 the target's id and then the id within the group (GROUP of each), so a prediction costs 2 * GROUP outputs.
 
 Training is data-parallel: in each of ROUNDS rounds every partition starts from the common parameters, takes one pass of Adagrad
-steps over the positions of its own texts that fall to the round (one in STRIDE, so the work grows with the corpus), and
-the partitions' parameters are averaged by their numbers of targets, block by block on the executors. Scoring sums the
-log-probabilities of all positions of all texts.
+steps over the positions of its own texts that fall to the round, and the partitions' parameters are averaged by their numbers
+of targets, block by block on the executors. The rounds deal all positions of all texts among them, so each is a training
+target once. Scoring sums the log-probabilities of all positions of all texts.
 
 Defined results: null and empty texts have 0 tokens, log-probability 0 and no perplexity; a missing neighbour is a padding
 id; repeated rows each get a row; an empty table gives no rows; scores depend on all texts, not on ids, labels or other columns.
@@ -33,7 +33,7 @@ PAD = IDS - 1
 WINDOW = 2
 HIDDEN = 32
 ROUNDS = 2
-STRIDE = 12
+STRIDE = 1  # above 1, training leaves out all positions but one in STRIDE
 BATCH = 4096
 RATE = 0.15
 BLOCK = 4096
@@ -177,6 +177,13 @@ def windows(ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.stack([wide[place + d] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))], axis=1)
 
 
+def targets(h: np.ndarray, offs: np.ndarray, r: int, rounds: int, stride: int) -> np.ndarray:
+    """The positions that fall to round r. A text's turn starts by its first word: the same in all rounds, however texts are batched."""
+    turn = (h[np.minimum(offs[:-1], len(h) - 1)] >> U64(40)).astype(np.int64)
+    inside = np.arange(len(h)) - np.repeat(offs[:-1], np.diff(offs))
+    return np.flatnonzero((inside + np.repeat(turn, np.diff(offs))) % (rounds * stride) == r * stride)
+
+
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
     """Parameters after `rounds` rounds of local passes and averaging."""
     spark = docs.sparkSession
@@ -195,12 +202,11 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, stride: int
                     if not len(h):
                         continue
                     ids = vocab.of(h)
-                    inside = np.arange(len(ids)) - np.repeat(offs[:-1], np.diff(offs))
-                    spread = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-                    pick = np.flatnonzero((inside + spread) % (rounds * stride) == r * stride)
-                    context = windows(ids, offs)[pick]
+                    pick = targets(h, offs, r, rounds, stride)
+                    context = windows(ids, offs)
                     for a in range(0, len(pick), BATCH):
-                        own.step(context[a : a + BATCH], ids[pick[a : a + BATCH]], memory)
+                        at = pick[a : a + BATCH]
+                        own.step(context[at], ids[at], memory)
                     seen += len(pick)
             if seen:
                 n = -(-len(own.flat) // BLOCK)

@@ -143,6 +143,23 @@ def test_lm_prefers_its_corpus(spark):
     assert mean(docs, net) > mean(docs.select("doc_id", F.array_join(F.shuffle(F.split("text", " ")), " ").alias("text")), net)
 
 
+def test_lm_trains_on_every_position(spark):
+    rng = np.random.default_rng(5)
+    offs = np.concatenate([[0], np.cumsum([0, 1, 2, 11, 0, 40, 1, 300, 0])])
+    h = rng.integers(0, 1 << 63, offs[-1]).astype(np.uint64)
+    picked = [maskedlm.targets(h, offs, r, maskedlm.ROUNDS, maskedlm.STRIDE) for r in range(maskedlm.ROUNDS)]
+    assert sorted(np.concatenate(picked).tolist()) == list(range(len(h)))
+    # a short text alone: each of its words is learnt, by the parameters of the query
+    text = "zero one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    vocab = maskedlm.vocabulary(docs)
+    h, offs = maskedlm._tokens(pa.array([text]))
+    ids = vocab.of(h)
+    context = maskedlm.windows(ids, offs)
+    gain = maskedlm.train(docs, vocab).log_prob(context, ids) - maskedlm.Network().log_prob(context, ids)
+    assert len(set(ids.tolist())) == 11 and (gain > 1).all(), gain
+
+
 # sampled pieces -----------------------------------------------------------------------------------------------------
 
 
