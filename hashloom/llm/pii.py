@@ -72,7 +72,11 @@ def _luhn(v: Column) -> Column:
 
 
 def _ip_ok(v: Column) -> Column:
-    return F.forall(F.split(v, "\\."), lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3) & F.forall(F.split(v, "\\."), lambda p: F.coalesce(F.substring(p, -4, 4).cast("int"), F.lit(0)) <= 255)
+    def part(p):
+        p = F.ltrim(p, F.lit("0"))
+        return (F.length(p) <= 3) & (F.coalesce(F.substring(p, 1, 3).try_cast("int"), F.lit(0)) <= 255)
+
+    return F.forall(F.split(v, "\\."), part)
 
 
 def base_spans(text: Column) -> dict[str, Column]:

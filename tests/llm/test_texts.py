@@ -257,6 +257,14 @@ def test_base_spans_of_random_texts(spark, texts):
         assert [f"{k}:{s['b']}:{s['e']}" for k in BASE for s in r[k]] == brute_base(texts[r["doc_id"]])
 
 
+def test_ip_parts_are_compared_whole(spark):
+    odd = ["1.2.3.20240101", "10.0.0.10000", "1.2.3.10000", "10000.1.2.3", "1.2.3.1000", "1.2.3.2550", "1.2.3.256", "000255.0.00.0001", "0.0.0.0", "1.2.3.00000010", "1.2.3.0000000256"]
+    got = listed_rows(spark, spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"))
+    for i, t in enumerate(odd):
+        assert got[i]["base"] == ",".join(brute_base(t)), t
+        assert got[i]["text"] == ("[PII]" if brute_base(t) else t)
+
+
 def test_bootstrapping(spark):
     """Hexadecimal seeds teach the pattern `key: `, which then finds identifiers of other shapes, and those are found elsewhere."""
     rows = [(i, f"some words key: {hashlib.md5(str(i).encode()).hexdigest()[:20]} and more") for i in range(12)]
