@@ -30,6 +30,7 @@ from .components import connected_components
 
 BANDS, ROWS = 42, 6
 COORDS = BANDS * ROWS
+SKETCH_BYTES = COORDS + 4 * BANDS
 CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 1024
 BLOCK = 512
@@ -146,7 +147,9 @@ def sketch_table(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
-    """(node, sketch, elements) of the nodes in need(node, rep): their texts are read again, other texts are not."""
+    """(node, sketch, elements) of the nodes in need(node, rep): their texts are read again, other texts are not.
+
+    The sketch is 8 bits a coordinate, then 32 bits of each band's key."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = need.select("rep")
     if ids.count() <= BROADCAST_IDS:
@@ -158,12 +161,13 @@ def full_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
         for b in batches:
             for i, j in _chunks(b.column(0)):
                 el, offs = shingle_sets(b.column(0).slice(i, j - i), words)
-                raw, small = el.tobytes(), mix64(sketches(el, offs)).astype(np.uint8).tobytes()
+                raw, sk = el.tobytes(), sketches(el, offs)
+                small = np.hstack([mix64(sk).astype(np.uint8), band_keys(sk).astype(np.uint32).view(np.uint8)]).tobytes()
                 out = []
                 for k, (node, x, y) in enumerate(zip(set_keys(el, offs), offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
                     if node is not None and node not in seen:
                         seen.add(node)
-                        out.append((node, small[COORDS * k : COORDS * (k + 1)], raw[8 * x : 8 * y]))
+                        out.append((node, small[SKETCH_BYTES * k : SKETCH_BYTES * (k + 1)], raw[8 * x : 8 * y]))
                 cols = list(zip(*out, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["node", "sketch", "elements"])
 
@@ -219,7 +223,8 @@ def _across(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         s = [k for k, r in enumerate(group) if r[3]]
         if not s or len(group) < 2:
             return []
-        sk = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), COORDS)
+        both = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), SKETCH_BYTES)
+        sk, tags = both[:, :COORDS], both[:, COORDS:].copy().view(np.uint32)
         size = np.array([len(r[5]) // 8 for r in group])
         comp, band = np.array([r[2] for r in group]), group[0][0]
         tests = []
@@ -229,7 +234,8 @@ def _across(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             ok = (agree >= least) & (den * np.minimum(size, size[k]) >= num * np.maximum(size, size[k])) & (comp != comp[k])
             at = np.flatnonzero(ok)
             if len(at):
-                first = same[at].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                # coordinates of 8 bits agree by chance too, the keys' bits tell the buckets really shared
+                first = (same[at].reshape(len(at), BANDS, ROWS).all(axis=2) & (tags[at] == tags[k])).argmax(axis=1)
                 tests += [(-int(agree[m]), k, m) for m, f in zip(at.tolist(), first.tolist(), strict=True) if f == band]
         tests.sort()
         root: dict[int, int] = {}

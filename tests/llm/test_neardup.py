@@ -66,6 +66,33 @@ def test_chains_and_large_groups(spark):
     assert got == {d: c for d, _, c in brute_components(rows, 2)}
 
 
+def test_pairs_with_a_band_that_agrees_by_chance(spark):
+    """Pairs whose coordinates, cut to 8 bits, agree in a band before the first one they share are linked all the same."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(2000):
+        w = [f"p{i}w{k}" for k in range(200)]
+        other = list(w)
+        for at in rng.choice(200, 22, replace=False):
+            other[at] = f"p{i}r{at}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    el, offs = neardup.shingle_sets(pa.array([t for _, t in rows]), 1)
+    sk = neardup.sketches(el, offs)
+    keys = neardup.band_keys(sk)
+    nodes = neardup.set_keys(el, offs)
+    cut = neardup.mix64(sk).astype(np.uint8).reshape(len(sk), neardup.BANDS, neardup.ROWS)
+    real = keys[::2] == keys[1::2]
+    loose = (cut[::2] == cut[1::2]).all(axis=2)
+    odd = np.flatnonzero(real.any(axis=1) & (loose.argmax(axis=1) < real.argmax(axis=1)))
+    assert len(odd) > 2
+    ids = [int(x) for i in odd for x in (2 * i, 2 * i + 1)]
+    docs = spark.createDataFrame([rows[x] for x in ids], "doc_id long, text string")
+    sets = neardup.full_sets(docs, spark.createDataFrame([(nodes[x], x) for x in ids], "node long, rep long"), 1)
+    members = spark.createDataFrame([(int(k), b, nodes[x], nodes[x]) for x in ids for b, k in enumerate(keys[x].view(np.int64))], "key long, band int, node long, comp long")
+    got = {frozenset((r["a"], r["b"])) for r in neardup._across(members, sets, 80, 100).collect()}
+    assert got == {frozenset((nodes[2 * i], nodes[2 * i + 1])) for i in odd}
+
+
 def test_one_of_each(spark, docs, clashing, empty):
     kept = neardup.one_of_each(clashing)
     assert kept.columns == clashing.columns
