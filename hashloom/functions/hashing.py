@@ -68,3 +68,15 @@ def leading_integer(s: Column) -> Column:
 def before(s: Column, delimiter: str) -> Column:
     """The part before the first delimiter; all of it without one."""
     return F.substring_index(s, delimiter, 1)
+
+
+def slice_of(x: Column, cuts: list) -> Column:
+    """The number of cuts (ascending, distinct) below x, by binary search: as many comparisons as the logarithm of their number. Null is below all."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(cuts))

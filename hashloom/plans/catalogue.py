@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, kmers
 from ..operators import joins, kv, stats
-from ..session import table
-from ..sources import fastq, generate, text
+from ..session import shared_dir, table
+from ..sources import fastq, generate, ranges, text
 from ..streaming import upserts
 
 K = 3
@@ -101,12 +101,46 @@ def kv_upsert_find(spark, d):
     return kv.upsert_then_find(table(spark, d, "events").select(F.col("user_id").alias("key")), 2, 3)
 
 
+def kv_upsert_find_zipf(spark, d):
+    """Upsert and lookup of Zipf keys; which ranks come up is the draw's business, so the number of distinct keys is told as a range."""
+    n = table(spark, d, "events").count()
+    got = kv.upsert_then_find(generate.zipf_keys(spark, n, 1000, 0.9, 7).select("key"), 1, 2)
+    return got.select("inserted", "found", F.col("fill").between(n // 100, min(n, 1000)).alias("fill_ok"))
+
+
+def kv_upsert_find_uniform(spark, d):
+    """Upsert and lookup of uniform 64-bit keys, which a few thousand draws never repeat."""
+    return kv.upsert_then_find(generate.uniform_keys(spark, table(spark, d, "events").count(), 7).select("key"), 2, 1)
+
+
+def kv_upsert_find_sequential(spark, d):
+    return kv.upsert_then_find(generate.counter(spark, table(spark, d, "events").count()), 1, 1)
+
+
+def kv_upsert_find_hashed(spark, d):
+    """Upsert and lookup of multiples of the hash multiplier, key 0 among them."""
+    return kv.upsert_then_find(generate.hashed_sequence(spark, table(spark, d, "events").count()).select("key"), 1, 3)
+
+
+def kv_direct_upsert(spark, d):
+    """Order statuses by customer in a table addressed by position; status F (0) leaves its place empty."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(F.col("o_orderkey")).cast("long").alias("value"), F.col("o_orderkey").alias("seq"))
+    places = kv.direct_upsert(rows, 1 << 40)
+    requests = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"))
+    return kv.direct_lookup(requests, places)
+
+
 def kv_dump(spark, d):
     return kv.dump_lines(kv.upsert(_orders(spark, d), "last"))
 
 
 def kv_routed_upsert(spark, d):
-    return kv.upsert(kv.routed(_orders(spark, d), 8), "last")
+    return kv.routed_upsert(_orders(spark, d), 8).select("key", "value")
+
+
+def kv_routed_lookup(spark, d):
+    requests = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"))
+    return kv.routed_lookup(requests, kv.routed_upsert(_orders(spark, d), 8), 8)
 
 
 def hashjoin_found(spark, d):
@@ -221,36 +255,94 @@ def stream_upsert(spark, d):
 
 
 def gen_zipf(spark, d):
+    """What holds of any Zipf draw: rows, ranks from 1 to 1000, the first rank's share within a tenth of its due, and a fitted exponent within 0.15 of the true one."""
     n = table(spark, d, "events").count()
-    return stats.frequencies(generate.zipf(spark, n, 1000, 1.1, 7), "rank")
+    freq = stats.frequencies(generate.zipf(spark, n, 1000, 1.1, 7), "rank")
+    top = 1 / sum(r**-1.1 for r in range(1, 1001))
+    got = freq.agg(F.sum("cnt").alias("n"), F.min("key").alias("least"), (F.max("key") <= 1000).alias("in_range"), F.max_by("key", "cnt").alias("most_frequent"), (F.abs(F.max("cnt") / F.sum("cnt").cast("double") / top - 1) < 0.1).alias("top_ok"))
+    return got.withColumn("exponent_ok", F.lit(abs(stats.zipf_likelihood_exponent(freq, 1000) - 1.1) < 0.15))
 
 
 def gen_uniform(spark, d):
-    return generate.uniform_keys(spark, table(spark, d, "events").count(), 7)
+    """What holds of any uniform draw: rows, no key 0, no key twice, and each sixteenth of the 64-bit range with about its share."""
+    n = table(spark, d, "events").count()
+    keys = generate.uniform_keys(spark, n, 7)
+    per = keys.groupBy("key").agg(F.count("*").alias("c")).groupBy(F.shiftrightunsigned("key", 60).alias("part")).agg(F.sum("c").alias("n"), F.count("*").alias("distinct"), F.count_if(F.col("key") == 0).alias("zeros"))
+    return per.select("part", F.col("n").between(n // 16 - 5 * int(n**0.5), n // 16 + 5 * int(n**0.5)).alias("share_ok"), (F.col("n") == F.col("distinct")).alias("no_repeats"), "zeros")
 
 
 def gen_join(spark, d):
+    """Generated join relations: rows of both sides, and whether the hit rate is within 0.02 of the one asked for, for uniform and skewed probes."""
     n = table(spark, d, "orders").count()
-    r, s = generate.join_relations(spark, n, 2 * n, 0.0, 0.7, 7)
-    return joins.hit_rate(s, r)
+    out = None
+    for skew in (0.0, 0.8):
+        r, s = generate.join_relations(spark, n, 2 * n, skew, 0.7, 7)
+        one = joins.hit_rate(s, r).select(F.lit(skew).alias("skew"), F.lit(r.count()).cast("long").alias("r_rows"), F.lit(s.count()).cast("long").alias("s_rows"), (F.abs(F.col("hit_rate") - 0.7) < 0.02).alias("rate_ok"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def gen_relations(spark, d):
+    """A relation pair joined: every key of R, `ratio` times, with both values."""
+    r, s = generate.relation_pair(spark, table(spark, d, "orders").count(), 3, 7)
+    return joins.materialize(s, r.withColumn("seq", F.col("value")))
 
 
 def kmer_sample(spark, d):
-    return generate.bernoulli(kmers.kmers(table(spark, d, "documents"), "text", K).select("code"), 0.25, 7)
+    """A quarter of the k-mers, drawn by document and k-mer: whether its share of each k-mer's documents is near a quarter."""
+    rows = kmers.kmers(table(spark, d, "documents"), "text", K, ["doc_id"]).select("doc_id", "code").distinct()
+    kept = generate.bernoulli(rows, 0.25, ["doc_id", "code"], 7).withColumn("kept", F.lit(1))
+    both = rows.join(kept, ["doc_id", "code"], "left")
+    return both.agg(F.count("*").alias("rows"), (F.abs(F.count("kept") / F.count("*").cast("double") - 0.25) < 0.05).alias("share_ok"), F.count_if(F.col("code").between(0, 4**K - 1)).alias("valid"))
+
+
+def kmer_sql_function(spark, d):
+    """k-mers through the registered SQL functions."""
+    kmers.register(spark)
+    table(spark, d, "documents").createOrReplaceTempView("kmer_documents")
+    return spark.sql(f"SELECT kmer, kmer_code(kmer) AS code, count(*) AS cnt FROM (SELECT explode(windows) AS kmer FROM (SELECT kmers(text, {K}) AS windows FROM kmer_documents)) GROUP BY kmer")
+
+
+def cdf_csv(spark, d):
+    """The cumulative curve written as CSV and read back with its header."""
+    at = f"{_scratch(spark)}/cdf-{uuid.uuid4().hex}"
+    text.write_cdf(cdf_batches(spark, d), at)
+    return spark.read.csv(at, header=True, schema="`% of keys` double, `% of values` double").toDF("pct_keys", "pct_values")
+
+
+def ranged_lines(spark, d):
+    """A relation file read in ranges whose ends a callback moves to line ends, with 1, 2 and 7 ranges."""
+    at = f"{_scratch(spark)}/ranges-{uuid.uuid4().hex}"
+    text.write_relation(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value")).coalesce(1), at)
+    parse = lambda raw: [tuple(map(int, line.split(b"|"))) for line in raw.split(b"\n") if line]
+    out = None
+    for n in (1, 2, 7):
+        one = ranges.read_ranges(spark, at, n, parse, "key long, value long").agg(F.lit(n).cast("long").alias("parts"), F.count("*").alias("n"), F.sum("key").alias("keys"), F.sum("value").alias("vals"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def fastq_broken(spark, d):
+    """Reads between lines that are no records, read in 1, 2 and 7 ranges."""
+    at = f"{_scratch(spark)}/broken-{uuid.uuid4().hex}"
+    seq = F.translate(F.lpad(F.conv(F.col("o_orderkey").cast("string"), 10, 4), 20, "0"), "0123", "ACGT")
+    bad = F.when(F.col("o_orderkey") % 5 == 0, F.lit("\nnot a record")).otherwise(F.lit(""))
+    body = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("@"), F.col("o_orderkey").cast("string"), F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("@"), F.lit(20)), bad))
+    body = F.coalesce(body, F.concat(F.lit("@"), F.col("o_orderkey").cast("string"), F.lit("\n"), seq, F.lit("\n+\n"), F.repeat(F.lit("+"), F.lit(20)), bad))
+    table(spark, d, "orders").select(body.alias("value")).coalesce(1).write.text(at)
+    out = None
+    for n in (1, 2, 7):
+        one = fastq.read_fastq(spark, at, num_parts=n).select(F.lit(n).cast("long").alias("parts"), F.col("header").cast("long").alias("id"), kmers.encode(F.col("seq")).alias("code"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _scratch(spark: SparkSession) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="hashloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/hashloom"
+    return f"{shared_dir(spark)}/hashloom"
 
 
 _KMERS = """
-WITH r AS (SELECT unnest(regexp_split_to_array(upper({col}), '[^ACGT]+')) AS r FROM {table}),
+WITH r AS (SELECT unnest(regexp_split_to_array(translate({col}, 'acgt', 'ACGT'), '[^ACGT]+')) AS r FROM {table}),
 w AS (SELECT unnest(list_transform(generate_series(1, length(r) - {k} + 1), lambda i: substr(r, i, {k}))) AS kmer FROM r WHERE length(r) >= {k}),
 c AS (SELECT kmer, CAST(list_sum(list_transform(generate_series(1, {k}), lambda i: (strpos('ACGT', substr(kmer, i, 1)) - 1) * (1 << (2 * ({k} - i))))) AS BIGINT) AS code, count(*) AS cnt FROM w GROUP BY kmer)
 """
@@ -267,18 +359,45 @@ _FOUND = f"SELECT count(*) AS found FROM lineitem WHERE EXISTS (SELECT 1 FROM ({
 _LOG = "SELECT ts, event_id, CASE WHEN event_id % 2 = 0 THEN 'w' ELSE 'r' END AS op, user_id AS key, event_id AS value FROM events"
 _READ = f"""WITH l AS ({_LOG}), s AS (SELECT event_id, op, key, last_value(CASE WHEN op = 'w' THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS value FROM l)"""
 
+_CDF = f"""WITH RECURSIVE f AS ({_FREQ}), o AS MATERIALIZED (SELECT cnt, row_number() OVER (ORDER BY cnt DESC, key) AS rk FROM f), t AS (SELECT count(*) AS n, sum(cnt) AS total FROM f),
+b(rk, batch, seen, done) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), false
+  UNION ALL
+  SELECT o.rk, CASE WHEN b.done THEN 0 ELSE b.batch END + o.cnt, b.seen + o.cnt, (CASE WHEN b.done THEN 0 ELSE b.batch END + o.cnt) >= 0.01::DOUBLE * t.total
+  FROM b JOIN o ON o.rk = b.rk + 1, t
+)
+SELECT 100 * rk / n::DOUBLE AS pct_keys, 100 * seen / total::DOUBLE AS pct_values FROM b, t WHERE done"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        kmer_count, kmer_topk, kmer_distinct, kmer_long_reads, kmer_code_round_trip, kmer_code_histogram, kmer_sample, fastq_kmers,
-        upsert_last, insert_first, upsert_count, upsert_merge, kv_lookup, kv_partition_lookup, kv_direct_index, kv_fill, kv_upsert_find, kv_dump, kv_routed_upsert,
+        kmer_count, kmer_topk, kmer_distinct, kmer_long_reads, kmer_code_round_trip, kmer_code_histogram, kmer_sample, kmer_sql_function, fastq_kmers, fastq_broken, ranged_lines,
+        upsert_last, insert_first, upsert_count, upsert_merge, kv_lookup, kv_partition_lookup, kv_direct_index, kv_direct_upsert, kv_fill, kv_upsert_find, kv_upsert_find_zipf, kv_upsert_find_uniform, kv_upsert_find_sequential, kv_upsert_find_hashed, kv_dump, kv_routed_upsert, kv_routed_lookup,
         hashjoin_found, hashjoin_found_broadcast, hashjoin_found_merge, hashjoin_materialize, hashjoin_duplicates, hashjoin_unmatched, hit_rate, radix_histogram, radix_join, relation_files,
-        key_skewness, freq_cdf, cdf_batches, zipf_slope, collision_rate, mixed_read_write, mixed_read_write_counts, csv_first_field, scalar_functions, span_parts, stream_upsert,
-        gen_zipf, gen_uniform, gen_join,
+        key_skewness, freq_cdf, cdf_batches, cdf_csv, zipf_slope, collision_rate, mixed_read_write, mixed_read_write_counts, csv_first_field, scalar_functions, span_parts, stream_upsert,
+        gen_zipf, gen_uniform, gen_join, gen_relations,
     )
 }
 
 _SQL = {
+    "cdf_batches": _CDF,
+    "cdf_csv": _CDF,
+    "kmer_sql_function": _kmers_sql("SELECT kmer, code, cnt FROM c"),
+    "kmer_sample": _KMERS.format(k=K, col="text", table="documents").split("r AS (")[0] + f"""d AS (SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'acgt', 'ACGT'), '[^ACGT]+')) AS r FROM documents),
+      w AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, length(r) - {K} + 1), lambda i: substr(r, i, {K}))) AS kmer FROM d WHERE length(r) >= {K})
+      SELECT count(*) AS rows, true AS share_ok, count(*) AS valid FROM w""",
+    "gen_zipf": "SELECT count(*) AS n, CAST(1 AS BIGINT) AS least, true AS in_range, CAST(1 AS BIGINT) AS most_frequent, true AS top_ok, true AS exponent_ok FROM events",
+    "gen_uniform": "SELECT i AS part, true AS share_ok, true AS no_repeats, CAST(0 AS BIGINT) AS zeros FROM range(16) t(i)",
+    "gen_join": "SELECT skew, (SELECT count(*) FROM orders) AS r_rows, (SELECT 2 * count(*) FROM orders) AS s_rows, true AS rate_ok FROM (VALUES (0.0::DOUBLE), (0.8::DOUBLE)) t(skew)",
+    "gen_relations": "SELECT i AS k, 2 * i AS v1, i // 2 AS v2 FROM range((SELECT count(*) FROM orders)) t(i), range(3)",
+    "kv_upsert_find_zipf": "SELECT count(*) AS inserted, 2 * count(*) AS found, true AS fill_ok FROM events",
+    "kv_upsert_find_uniform": "SELECT 2 * count(*) AS inserted, count(*) AS found, count(*) AS fill FROM events",
+    "kv_upsert_find_sequential": "SELECT count(*) AS inserted, count(*) AS found, count(*) - 1 AS fill FROM events",
+    "kv_upsert_find_hashed": "SELECT count(*) AS inserted, 3 * count(*) AS found, count(*) - 1 AS fill FROM events",
+    "kv_direct_upsert": "SELECT event_id AS id, v AS value FROM events JOIN (SELECT o_custkey, arg_max(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE o_orderkey END, o_orderkey) AS v FROM orders GROUP BY o_custkey) t ON o_custkey = user_id WHERE v <> 0",
+    "kv_routed_lookup": f"SELECT event_id AS id, t.value FROM events JOIN ({_LAST}) t ON t.key = user_id",
+    "ranged_lines": "SELECT parts, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(sum(o_custkey) AS BIGINT) AS vals FROM orders, (VALUES (CAST(1 AS BIGINT)), (2), (7)) p(parts) GROUP BY parts",
+    "fastq_broken": "SELECT parts, o_orderkey AS id, o_orderkey AS code FROM orders, (VALUES (CAST(1 AS BIGINT)), (2), (7)) p(parts)",
     "kmer_count": _kmers_sql("SELECT kmer, code, cnt FROM c"),
     "fastq_kmers": _kmers_sql("SELECT kmer, code, cnt FROM c"),
     "kmer_topk": _kmers_sql("SELECT kmer, code, cnt FROM c ORDER BY cnt DESC, code DESC LIMIT 20"),

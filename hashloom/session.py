@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -29,3 +31,15 @@ def build_session(app: str = "hashloom", master: str | None = None, shuffle_part
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A test table; Spark opens the path, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. A session in one JVM that has none gets a temporary one; on a cluster that would be another disk on every host."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="hashloom-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")

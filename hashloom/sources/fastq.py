@@ -1,119 +1,120 @@
 """FASTQ as a Spark data source, and a splitter.
 
-Four-line records (@header, sequence, + line, quality). A file is cut into byte ranges; a range owns the records whose header
-begins in it, and finds the first one by the whole pattern: a line that begins with @, two lines on one that begins with +, and a quality as
-long as the sequence, so qualities that begin with @ or + don't mislead it. A file that also holds two-line records (no + line) is
-read with `two_line`, in one range. Input ends silently at a line that should be a header and isn't; a cut-off last record with a
-sequence is kept.
+A record is a header line that begins with @, a sequence line, and as a rule a line that begins with + and a quality line. Where a
+record begins is told by the lines around alone, so any cutting of a file into byte ranges gives the same records. A line
+that begins with @ is a header if the next line begins with neither @ nor + and the one after it begins with + or @, is empty
+or is missing (an empty sequence needs the +), unless it is the quality of the three lines before it: header, sequence of
+its length, + line. So qualities that begin with @ or + do not mislead it, records without + line are read, a cut-off last
+record with a sequence is kept, and what is no record is passed over, here and in every range. A range owns the records
+whose header begins in it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .ranges import cut, files
+
 SCHEMA = "seq_no long, header string, seq string"
 RANGE_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20
+_AT, _PLUS, _LF = ord("@"), ord("+"), ord("\n")
 
 
 class FastqRange(InputPartition):
-    def __init__(self, path: str, begin: int, end: int, size: int):
-        self.path, self.begin, self.end, self.size = path, begin, end, size
-
-
-class _Lines:
-    """Lines of a file from an offset, with the offset of each."""
-
-    def __init__(self, path: str, at: int):
-        fs, name = pafs.FileSystem.from_uri(path)
-        self.file = fs.open_input_file(name)
-        self.file.seek(at)
-        self.at, self.rest, self.ended = at, b"", False
-        self.pushed: list[tuple[int, bytes]] = []
-
-    def next(self) -> tuple[int, bytes] | None:
-        if self.pushed:
-            return self.pushed.pop()
-        while b"\n" not in self.rest and not self.ended:
-            more = self.file.read(1 << 20)
-            self.ended = not more
-            self.rest += more
-        if not self.rest:
-            return None
-        line, cut, self.rest = self.rest.partition(b"\n")
-        start = self.at
-        self.at += len(line) + len(cut)
-        return start, line
-
-    def back(self, *lines: tuple[int, bytes]) -> None:
-        self.pushed += reversed(lines)
-
-
-def _seek_record(lines: _Lines, skip_line: bool) -> None:
-    """Move to the first record that begins in what is left."""
-    if skip_line:
-        lines.next()
-    while (a := lines.next()) is not None:
-        if a[1][:1] == b"@":
-            more = [x for x in (lines.next(), lines.next(), lines.next()) if x is not None]
-            whole = len(more) == 3 and more[1][1][:1] == b"+" and len(more[2][1].rstrip(b"\r")) == len(more[0][1].rstrip(b"\r"))
-            lines.back(a, *more)
-            if whole or len(more) < 3:
+    def __init__(self, path: str, begin: int, end: int):
+        self.path, self.begin, self.end = path, begin, end
+
+
+def _strings(values: list[bytes]) -> pa.Array:
+    try:
+        return pa.array(values, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
+
+
+def _headers(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: bool) -> tuple[np.ndarray, int]:
+    """Indices of the header lines among lines [starts, ends), and how many lines are decided; `whole` says that no line follows."""
+    n = len(starts)
+    decided = n if whole else max(0, n - 2)
+    first = np.zeros(n + 5, np.int16)  # from three lines ahead to two behind; 0: an empty line; -1: no line
+    first[:3], first[n + 3 :] = -1, -1
+    some = ends > starts
+    first[3 : n + 3][some] = buf[starts[some]]
+    size = np.full(n + 3, -1)
+    size[3:] = ends - starts
+    head = np.flatnonzero(first[3 : decided + 3] == _AT)
+    second, third = first[head + 4], first[head + 5]
+    ok = (second != -1) & (second != _AT) & (second != _PLUS)
+    ok &= (third == _PLUS) | ((second != 0) & ((third == _AT) | (third == 0) | (third == -1)))
+    quality = (first[head + 2] == _PLUS) & (first[head + 1] != _AT) & (first[head + 1] != _PLUS) & (first[head] == _AT) & (size[head + 1] == size[head + 3])
+    return head[ok & ~quality], decided
+
+
+def _lines_before(f: pa.NativeFile, begin: int) -> int:
+    """The start of a line, at least four before the first line that starts at `begin` or later; 0 if there are fewer."""
+    back = 1 << 16
+    while back < begin:
+        f.seek(begin - back)
+        feeds = np.flatnonzero(np.frombuffer(f.read(back), np.uint8) == _LF)
+        if len(feeds) > 4:
+            return begin - back + int(feeds[-5]) + 1
+        back *= 4
+    return 0
+
+
+def record_batches(path: str, begin: int, end: int, block: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """(offset, header, sequence) of the records that begin in [begin, end), a batch a block."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(name) as f:
+        at = _lines_before(f, begin)
+        f.seek(at)
+        raw, seen = b"", 0  # lines of raw that were decided before
+        while True:
+            more = f.read(max(block, len(raw)))  # a line longer than a block is read in ever larger steps
+            raw, last = raw + more, not more
+            buf = np.frombuffer(raw, np.uint8)
+            feeds = np.flatnonzero(buf == _LF)
+            ends = np.append(feeds, len(buf)) if last and len(buf) and buf[-1] != _LF else feeds
+            starts = np.concatenate([[0], feeds + 1])[: len(ends)]
+            head, decided = _headers(buf, starts, ends, last)
+            head = head[(head >= seen) & (starts[head] + at >= begin) & (starts[head] + at < end)]
+            if len(head):
+                a, b, c, d = (x.tolist() for x in (starts[head] + 1, ends[head], starts[head + 1], ends[head + 1]))
+                names, seqs = [raw[i:j] for i, j in zip(a, b, strict=True)], [raw[i:j] for i, j in zip(c, d, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(starts[head] + at), _strings(names), _strings(seqs)], names=["seq_no", "header", "seq"])
+            if last or decided and starts[decided] + at >= end:
                 return
-            lines.next()
-
-
-def records(path: str, begin: int, end: int, two_line: bool = False) -> Iterator[tuple[int, str, str]]:
-    """(offset, header, sequence) of the records that begin in [begin, end)."""
-    # from one byte ahead, so that a record that begins right at `begin` is not skipped
-    lines = _Lines(path, max(0, begin - 1))
-    if begin:
-        _seek_record(lines, True)
-    while (head := lines.next()) is not None:
-        if head[0] >= end or head[1][:1] != b"@":
-            return
-        seq = lines.next()
-        if seq is None:
-            return
-        plus = lines.next()
-        if plus is not None:
-            if plus[1][:1] == b"+":
-                lines.next()
-            else:
-                lines.back(plus)
-                if not two_line and plus[1][:1] != b"@":
-                    yield head[0], head[1][1:].decode(), seq[1].decode()
-                    return
-        yield head[0], head[1][1:].decode(), seq[1].decode()
+            keep = max(0, decided - 3)
+            seen, done = decided - keep, int(starts[keep]) if len(starts) else 0
+            raw, at = raw[done:], at + done
+
+
+def records(path: str, begin: int, end: int) -> Iterator[tuple[int, str, str]]:
+    """The records of a range, one by one."""
+    for b in record_batches(path, begin, end):
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
-        self.two_line = options.get("two_line", "false").lower() == "true"
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.parts = int(options["num_parts"]) if options.get("num_parts") else None
 
     def partitions(self) -> list[FastqRange]:
-        out = []
-        for p in self.paths:
-            fs, name = pafs.FileSystem.from_uri(p)
-            info = fs.get_file_info(name)
-            scheme = p[: len(p) - len(name)] if p.endswith(name) else ""
-            files = [info] if info.type == pafs.FileType.File else sorted((f for f in fs.get_file_info(pafs.FileSelector(name)) if f.type == pafs.FileType.File), key=lambda f: f.path)
-            for f in files:
-                n = 1 if self.two_line else self.parts or max(1, -(-f.size // self.range_bytes))
-                cuts = [f.size * i // n for i in range(n + 1)]
-                out += [FastqRange(scheme + f.path, a, b, f.size) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out
-
-    def read(self, part: FastqRange) -> Iterator[tuple]:
+        return [FastqRange(uri, a, b) for p in self.paths for uri, size in files(p) for a, b in cut(size, self.parts or max(1, -(-size // self.range_bytes)))]
+
+    def read(self, part: FastqRange) -> Iterator[pa.RecordBatch]:
         if part.begin < part.end:
-            yield from records(part.path, part.begin, part.end, self.two_line)
+            yield from record_batches(part.path, part.begin, part.end)
 
 
 class FastqSource(DataSource):

@@ -139,18 +139,28 @@ def join_relations(spark: SparkSession, r_rows: int, s_rows: int, skew: float =
     return r, s.select("row", F.when(hit, F.when(key == 0, F.lit(1)).otherwise(key)).otherwise(miss).alias("key"))
 
 
+def with_constant(df: DataFrame, value: int) -> DataFrame:
+    """df with the same value in every row."""
+    return df.withColumn("value", F.lit(value).cast("long"))
+
+
 def relation_pair(spark: SparkSession, n: int, ratio: int, seed: int = 0, r_value=lambda k: F.floor(k / 2).cast("long"), s_value=lambda k: k * 2) -> tuple[DataFrame, DataFrame]:
     """R: keys 0..n-1 in random order with r_value of the key; S: each key `ratio` times with s_value."""
-    r = spark.range(n).select(F.col("id").alias("key"), r_value(F.col("id")).alias("value")).orderBy(draw64(F.col("key"), seed))
+    r = spark.range(n).select(F.col("id").alias("key"), r_value(F.col("id")).alias("value"))
     s = spark.range(n * ratio).select(F.pmod("id", F.lit(n)).alias("key"), F.col("id").alias("row"))
-    return r, s.select("row", "key", s_value(F.col("key")).alias("value")).orderBy(draw64(F.col("row"), seed, 1)).drop("row")
+    return shuffled(r, ["key"], seed), shuffled(s.select("row", "key", s_value(F.col("key")).alias("value")), ["row"], seed + 1).drop("row")
 
 
-def bernoulli(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
-    """A sample that keeps each row with probability `rate`."""
+def bernoulli(df: DataFrame, rate: float, by: list[str], seed: int = 0) -> DataFrame:
+    """A sample that keeps each row with probability `rate`, drawn from the columns `by`, which tell rows apart: the same rows however they are partitioned."""
     if not 0 <= rate <= 1:
         raise ValueError("rate must lie in [0, 1]")
-    return df.sample(False, rate, seed)
+    return df.where(draw_unit(F.xxhash64(*by), seed, 4) < rate)
+
+
+def shuffled(df: DataFrame, by: list[str], seed: int = 0) -> DataFrame:
+    """df in a random order, drawn from the columns `by`, which tell rows apart."""
+    return df.orderBy(draw64(F.xxhash64(*by), seed, 6), *by)
 
 
 def operations(keys: DataFrame, p_read: float, seed: int = 0) -> DataFrame:

@@ -43,7 +43,7 @@ def with_part(df: DataFrame, num_parts: int, row_id: str, n_rows: int) -> DataFr
     if num_parts < 1:
         raise ValueError("num_parts must be at least 1")
     q = n_rows // num_parts
-    part: Column = F.least((F.col(row_id) / F.lit(q)).cast("int"), F.lit(num_parts - 1)) if q else F.lit(num_parts - 1)
+    part: Column = F.least(F.call_function("div", F.col(row_id), F.lit(q).cast("long")), F.lit(num_parts - 1).cast("long")).cast("int") if q else F.lit(num_parts - 1)
     return df.withColumn("part_id", part)
 
 
@@ -60,3 +60,18 @@ def cached(spark: SparkSession, path: str, make, **params) -> DataFrame:
     if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
         make().write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)
+
+
+def write_cdf(curve: DataFrame, path: str) -> None:
+    """The cumulative curve (pct_keys, pct_values) as CSV with a header."""
+    curve.select(F.col("pct_keys").alias("% of keys"), F.col("pct_values").alias("% of values")).write.mode("overwrite").csv(path, header=True)
+
+
+def write_frequencies(freq: DataFrame, path: str) -> None:
+    """(key, cnt) as CSV with a header, in no order."""
+    freq.select("key", "cnt").write.mode("overwrite").csv(path, header=True)
+
+
+def write_numbers(df: DataFrame, column: str, path: str) -> None:
+    """One column of 64-bit numbers (k-mer codes, Zipf samples, keys) as Parquet."""
+    df.select(F.col(column).cast("long").alias("key")).write.mode("overwrite").parquet(path)

@@ -6,6 +6,8 @@ max_files bounds a micro-batch. State is kept for every key, as the table is.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.kv import Combine, combiner, lookup
 
 ROW = "key long, value long, seq long"
+COMPACT = 8
 
 
 def read_rows(spark: SparkSession, path: str, schema: str = ROW, max_files: int = 1) -> DataFrame:
@@ -24,22 +27,40 @@ def upserts(rows: DataFrame, combine: Combine = "last") -> DataFrame:
     return rows.groupBy("key").agg(combiner(combine).alias("value"), F.count("*").alias("n"))
 
 
-def run_to_table(rows: DataFrame, path: str, checkpoint: str, combine: Combine = "last") -> StreamingQuery:
-    """Run to the end of the input. Each micro-batch writes the keys that changed to path/batch=N; read_table() folds them. A batch that
-    is tried again overwrites its own folder."""
+def _put(changed: DataFrame, batch: int, path: str) -> None:
+    """Add a micro-batch's changed keys to the table below path, and every COMPACT batches fold all before it into a base. A batch that is tried
+    again writes the same folders again; a base counts once it is whole, and only batches after the newest base are read."""
+    spark = changed.sparkSession
+    changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    if (batch + 1) % COMPACT == 0:
+        read_table(spark, path, before=batch).write.mode("overwrite").parquet(f"{path}/base={batch}")
 
-    def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    q = upserts(rows, combine).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+def _folders(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the finished batch= or base= folders."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.Path(f"{path}/{kind}=*/_SUCCESS")) or []
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
+
+
+def run_to_table(rows: DataFrame, path: str, checkpoint: str, combine: Combine = "last") -> StreamingQuery:
+    """Run to the end of the input. Each micro-batch writes the keys that changed to path/batch=N; read_table() folds them."""
+    q = upserts(rows, combine).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: _put(df, n, path)).start()
     q.awaitTermination()
     return q
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value, n) after the last batch."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return rows.groupBy("key").agg(F.max_by(F.struct("value", "n"), "batch").alias("v")).select("key", "v.value", "v.n")
+def read_table(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """(key, value, n) after the last batch: the newest base, older than `before`, and the at most COMPACT batches since."""
+    base = [b for b in _folders(spark, path, "base") if before is None or b < before][-1:]
+    since = [b for b in _folders(spark, path, "batch") if not base or b > base[0]]
+    parts = [spark.read.parquet(f"{path}/base={b}").withColumn("batch", F.lit(-1)) for b in base] + [spark.read.parquet(f"{path}/batch={b}").withColumn("batch", F.lit(b)) for b in since]
+    if not parts:
+        return spark.createDataFrame([], "key long, value long, n long")
+    rows = reduce(DataFrame.unionByName, parts)
+    # a key stands once in a batch; n grows, so it orders a key's rows as the batch does
+    return rows.groupBy("key").agg(F.max_by("value", "batch").alias("value"), F.max("n").alias("n"))
 
 
 def run_with_lookups(rows: DataFrame, requests: DataFrame, path: str, checkpoint: str, combine: Combine = "last") -> DataFrame:
@@ -47,7 +68,7 @@ def run_with_lookups(rows: DataFrame, requests: DataFrame, path: str, checkpoint
     spark = rows.sparkSession
 
     def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/table/batch={batch}")
+        _put(changed, batch, f"{path}/table")
         hits = lookup(requests, read_table(spark, f"{path}/table").select("key", "value"))
         hits.write.mode("overwrite").parquet(f"{path}/found/batch={batch}")
 
