@@ -1,21 +1,31 @@
-"""Toxicity: a support vector machine on a gap-weighted subsequence kernel, with Nystroem landmarks.
-
-Texts fall into tokens (runs between white space; adjacent one-letter tokens join into one), folded to small letters: accented
-letters by their last byte, digits that stand for letters as those, other signs as gaps. The kernel of two tokens sums, over
-common subsequences of three symbols (a start mark among them) within SPAN places, DECAY to the power of both spans, and
-is scaled by each token's own weights; so letters between or signs inside an insult cost a little and do not hide it.
-
-Training is on tokens of labelled texts: positives are tokens that toxic texts have and clean ones hardly ever,
-chosen so that together they explain the toxic texts;
-the first VIRTUAL of them also with a letter put in; negatives are tokens of clean texts, those that score highest among them mined in a second round. LANDMARKS tokens give the
-Nystroem map, in which a squared-hinge machine is fitted; folded back onto subsequences it scores a token in one pass. A
-document's evidence is its worst token and the expected number of insults, for itself and against its length; logistic and
-then isotonic regression on labelled texts kept aside make it a probability.
-
-At most TRAIN_DOCS labelled rows of each kind are used (those with the least hashed ids; the bound is this parameter);
-scores cover every token of every whole text. Defined results: null, empty and letterless texts have the least evidence;
-without labels of both kinds every score is the labels' mean, or 0; documents with several labels count as their mean rounded;
-repeated rows each get a row; an empty table gives no rows; other columns are not read.
+"""Toxicity: a support vector machine on a gap-weighted subsequence kernel, with Nystroem landmarks, trained on labelled sentences.
+
+Texts fall into words (runs between white space; adjacent one-letter words join into one), folded to small letters: accented
+letters by their last byte, digits that stand for letters as those, other signs as gaps. Words stand in sentences, which end at
+. ! ? or a line's end and after SENTENCE words. A sentence's windows are its words and its pairs of adjacent words. The kernel
+of two windows sums, over common subsequences of three symbols (word starts are symbols too) within SPAN places, DECAY to the
+power of both spans, and is scaled by each window's own weights; so letters between or signs inside an insult cost a little
+and do not hide it, and subsequences that cross from word to word tell an insult of two words from its words.
+
+Sentences have their document's label, and a toxic document's sentences are mostly clean: the machine learns from several
+instances under one label. At first every window has the labels of its sentences, toxic and clean ones. Then, ROUNDS times,
+toxic sentences speak through the windows that the machine at hand scores above SPEAKS, by the square of that score (and through
+copies of the words with a letter put in), clean ones through a sample of their windows and those that score highest, and the
+machine is fitted again. LANDMARKS windows give the Nystroem map, in which a squared-hinge machine is fitted; folded back onto
+subsequences it scores a window in one pass.
+
+A sentence scores as its worst window. A document's evidence is its worst sentence, the expected number of bad sentences, for
+itself and against their number, and their number; logistic and then isotonic regression on labelled texts kept aside make it a
+probability.
+
+Bounds, all on what is learnt from labelled rows: at most TRAIN_DOCS of each label (those with the least hashed ids), of
+which near copies (MARKS least hashes of word pairs agree) count once; at most EXCESS, COMMON and SAMPLED windows in the first
+fit (those with most toxic sentences beyond chance, with most clean ones, and by hash), POSITIVES, SAMPLED and HARD in the
+later ones, and VIRTUAL words with letters put in. Scores cover every window of every whole text.
+
+Defined results: null, empty and letterless texts have the least evidence; texts of any length are scored whole; without labels of
+both kinds every score is the labels' mean, or 0; documents with several labels count as their mean rounded; windows that tie
+are taken in the order of their bytes; repeated rows each get a row; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,22 +39,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, mix64, persist_table, row_chunks, text_buffer, word_spans
+from .common import U64, map_arrow, mix64, persist_table, row_chunks, text_buffer, word_spans
 from .quality import held_out, pool_adjacent_violators
 
 DECAY = 0.65
 SPAN = 8
+SENTENCE = 24
 LANDMARKS = 256
 TRAIN_DOCS = 6000
-POSITIVES, NEGATIVES, HARD = 1500, 12000, 3000
-LEAST_DOCS = 3
-IMPURE = 0.1
-SURE = 3.0
-EXPLAIN = 4
+MARKS = 3
+EXCESS, COMMON, SAMPLED = 1500, 2000, 6000
+POSITIVES, HARD = 1500, 2500
+ROUNDS = 2
+SPEAKS = 0.3
 VIRTUAL = 200
 C = 10.0
 LOWEST = -4.0
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 SYMBOLS = 32
 START = 31
 
@@ -57,10 +68,12 @@ for _d, _l in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}.items
     _SYMBOL[ord(_d)] = ord(_l) - 96
 _SYMBOL[0x80:0xC0] = 27 + np.arange(64) % 4
 _LEAD = _b >= 0xC0
+_SEEDS = mix64(np.arange(1, MARKS + 1).astype(U64))
+_STOP = np.isin(_b, [ord(c) for c in ".!?\n"])
 
 
-class Tokens:
-    """Distinct folded tokens of texts: symbols, concatenated, offsets, and for each occurrence its text and token."""
+class Sentences:
+    """Distinct folded words of texts: symbols, concatenated, and offsets; for each occurrence its text, word and sentence."""
 
     def __init__(self, col: pa.Array):
         raw, offs = text_buffer(col)
@@ -73,7 +86,8 @@ class Tokens:
         doc = np.repeat(np.arange(self.n), counts)
         keep = n_letters > 0
         starts, ends, doc, n_letters = starts[keep], ends[keep], doc[keep], n_letters[keep]
-        self.sym, self.offs, self.doc, self.which = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        self.sym, self.offs, self.doc, self.which, self.sentence, self.n_sentences, self.sentence_doc = none, np.zeros(1, np.int64), none, none, none, 0, none
         if not len(starts):
             return
         # trim signs at both ends: from the first letter to the last
@@ -96,7 +110,28 @@ class Tokens:
         n = size[first]
         self.offs = np.concatenate([[0], np.cumsum(n)])
         self.sym = flat[np.repeat(head[first] - self.offs[:-1], n) + np.arange(self.offs[-1])]
-        self.doc = doc[~joins]
+        # a stop between one word and the next ends a sentence, and so do SENTENCE words
+        stops = np.concatenate([[0], np.cumsum(_STOP[raw])])
+        heads, tails = np.flatnonzero(~joins), np.append(np.flatnonzero(~joins)[1:], len(starts)) - 1
+        self.doc = doc[heads]
+        new = np.ones(len(heads), bool)
+        new[1:] = (self.doc[1:] != self.doc[:-1]) | (stops[starts[heads[1:]]] > stops[ends[tails[:-1]]])
+        place = np.arange(len(heads)) - np.maximum.accumulate(np.where(new, np.arange(len(heads)), 0))
+        new |= place % SENTENCE == 0
+        self.sentence = np.cumsum(new) - 1
+        self.n_sentences = int(self.sentence[-1]) + 1
+        self.sentence_doc = self.doc[new]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of adjacent words of a sentence, a row each, and for each occurrence its first word's number and its pair."""
+        at = np.flatnonzero(self.sentence[1:] == self.sentence[:-1])
+        words = max(1, len(self.offs) - 1)
+        both, which = np.unique(self.which[at] * words + self.which[at + 1], return_inverse=True)
+        return np.stack([both // words, both % words], axis=1), at, which
+
+    def word_bytes(self) -> list[bytes]:
+        raw = self.sym.astype(np.uint8).tobytes()
+        return [raw[x:y] for x, y in zip(self.offs[:-1].tolist(), self.offs[1:].tolist(), strict=True)]
 
 
 def subsequences(sym: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -147,6 +182,35 @@ def project(sym: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> np.ndarra
     return out / np.sqrt(np.maximum(norm, 1e-12))[:, None]
 
 
+def across(sym: np.ndarray, offs: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """For each pair of gaps: (pair, feature, weight) of the subsequences that begin in a pair's first word and end in its second, starts of words among them."""
+    if not len(pairs):
+        return
+    size = np.diff(offs)
+    la, lb = np.minimum(size[pairs[:, 0]] + 1, SPAN - 1), np.minimum(size[pairs[:, 1]] + 1, SPAN - 1)
+    width = 2 * (SPAN - 1)
+    s = np.zeros((len(pairs), width), np.int64)  # the first word's end, aligned right, and the second's beginning
+    col = np.arange(SPAN - 1)
+    from_end = offs[pairs[:, 0] + 1][:, None] - (SPAN - 1) + col
+    inside = col >= SPAN - 1 - la[:, None]
+    start = from_end < offs[pairs[:, 0]][:, None]  # the place before the first letter
+    s[:, : SPAN - 1] = np.where(inside, np.where(start, START, sym[np.clip(from_end, 0, len(sym) - 1)]), 0)
+    from_start = offs[pairs[:, 1]][:, None] + col - 1
+    s[:, SPAN - 1 :] = np.where(col < lb[:, None], np.where(col == 0, START, sym[np.clip(from_start, 0, len(sym) - 1)]), 0)
+    border = SPAN - 1
+    for d in range(2, SPAN):
+        for i in range(max(0, border - d), border):
+            if i + d >= width:
+                continue
+            some = np.flatnonzero((s[:, i] > 0) & (s[:, i + d] > 0))
+            if not len(some):
+                continue
+            for m in range(1, d):
+                ok = some[s[some, i + m] > 0]
+                if len(ok):
+                    yield ok, (s[ok, i] * SYMBOLS + s[ok, i + m]) * SYMBOLS + s[ok, i + d], DECAY ** (d + 1)
+
+
 def _pack(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), np.uint8).astype(np.int64), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
 
@@ -161,17 +225,44 @@ class ToxicityModel:
     base: float = 0.0
 
     def tokens(self, sym: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Scores of windows given as symbols."""
         return project(sym, offs, self.weights)[:, 0] + self.bias
 
+    def windows(self, t: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the distinct words, and of the distinct pairs, with what Sentences.pairs() gives."""
+        n = len(t.offs) - 1
+        own, norm = np.zeros(n), np.zeros(n)
+        for token, feature, w in subsequences(t.sym, t.offs):
+            own += np.bincount(token, weights=self.weights[feature], minlength=n) * w
+            norm += np.bincount(token, minlength=n) * w * w
+        pairs, at, which = t.pairs()
+        both, wide = own[pairs].sum(axis=1), norm[pairs].sum(axis=1)
+        for a in range(0, len(pairs), 1 << 15):
+            part = pairs[a : a + (1 << 15)]
+            for pair, feature, w in across(t.sym, t.offs, part):
+                both[a : a + len(part)] += np.bincount(pair, weights=self.weights[feature], minlength=len(part)) * w
+                wide[a : a + len(part)] += np.bincount(pair, minlength=len(part)) * w * w
+        scaled = lambda x, y: x / np.sqrt(np.maximum(y, 1e-12)) + self.bias
+        return scaled(own, norm), scaled(both, wide), pairs, at, which
+
+    def sentences(self, t: Sentences) -> np.ndarray:
+        """Each sentence's worst window."""
+        out = np.full(t.n_sentences, LOWEST)
+        if t.n_sentences:
+            words, pairs, _, at, which = self.windows(t)
+            np.maximum.at(out, t.sentence, words[t.which])
+            np.maximum.at(out, t.sentence[at], pairs[which])
+        return out
+
     def evidence(self, col: pa.Array) -> np.ndarray:
-        """Per text: its worst token's score, the expected number of insults, that number by the root of its length, and its length."""
-        t = Tokens(col)
+        """Per text: its worst sentence's score, the expected number of bad sentences, that number by the root of their number, and their number."""
+        t = Sentences(col)
         worst, soft, n = np.full(t.n, LOWEST), np.zeros(t.n), np.zeros(t.n)
-        if len(t.offs) > 1:
-            f = self.tokens(t.sym, t.offs)[t.which]
-            np.maximum.at(worst, t.doc, f)
-            soft = np.bincount(t.doc, weights=1 / (1 + np.exp(-3 * np.clip(f, -9, 9))), minlength=t.n)
-            n = np.bincount(t.doc, minlength=t.n).astype(float)
+        if t.n_sentences:
+            f = self.sentences(t)
+            np.maximum.at(worst, t.sentence_doc, f)
+            soft = np.bincount(t.sentence_doc, weights=1 / (1 + np.exp(-3 * np.clip(f, -9, 9))), minlength=t.n)
+            n = np.bincount(t.sentence_doc, minlength=t.n).astype(float)
         return np.stack([np.clip(worst, LOWEST, -LOWEST), np.log1p(soft), soft / np.sqrt(n + 1), np.log1p(n)], axis=1)
 
     def raw(self, col: pa.Array) -> np.ndarray:
@@ -226,27 +317,6 @@ def fit_machine(tokens: list[bytes], y: np.ndarray, cost: np.ndarray, landmarks:
     return (basis @ (back @ w[:-1]).astype(np.float32)).astype(np.float64), float(w[-1])
 
 
-def explain(pairs: list[tuple[int, int]], n: int, least: int, times: int = EXPLAIN) -> list[tuple[int, int]]:
-    """Tokens that explain toxic documents, most first: a document counts for a token until `times` tokens before it explain it, so
-    that a document's other words don't pass for insults. (token, all its documents), while a token has `least` to explain."""
-    docs_of: list[set] = [set() for _ in range(n)]
-    for d, k in pairs:
-        docs_of[k].add(d)
-    need = {d: times for d, _ in pairs}
-    open_, out, left = set(need), [], set(range(n))
-    while left:
-        k = max(left, key=lambda i: (len(docs_of[i] & open_), -i))
-        if len(docs_of[k] & open_) < least:
-            break
-        out.append((k, len(docs_of[k])))
-        left.discard(k)
-        for d in docs_of[k] & open_:
-            need[d] -= 1
-            if not need[d]:
-                open_.discard(d)
-    return out
-
-
 def gapped(tokens: list[bytes], seed: int = 7) -> list[bytes]:
     """Virtual positives: each token with one letter put in, at each inner place."""
     rng = np.random.default_rng(seed)
@@ -254,17 +324,21 @@ def gapped(tokens: list[bytes], seed: int = 7) -> list[bytes]:
 
 
 def signatures(col: pa.Array) -> np.ndarray:
-    """For each text the least hash of its adjacent token pairs: near copies mostly share it."""
-    t = Tokens(col)
-    out = np.full(t.n, np.iinfo(np.uint64).max, U64)
+    """For each text the least of its pairs of adjacent words under MARKS hashes, in one number: near copies mostly share it, texts with a pair in common hardly ever."""
+    t = Sentences(col)
+    out = np.full((MARKS, t.n), np.iinfo(np.uint64).max, U64)
     if len(t.offs) > 1:
         rank = np.arange(len(t.sym)) - np.repeat(t.offs[:-1], np.diff(t.offs))
         h = mix64(np.add.reduceat(mix64((t.sym.astype(U64) << U64(40)) + rank.astype(U64)), t.offs[:-1]))[t.which]
         nxt = np.zeros(len(h), U64)
         same = t.doc[1:] == t.doc[:-1]
         nxt[:-1][same] = h[1:][same]
-        np.minimum.at(out, t.doc, mix64(h * U64(3) + nxt))
-    return out.view(np.int64)
+        for k in range(MARKS):
+            np.minimum.at(out[k], t.doc, mix64(h * U64(3) + nxt + _SEEDS[k]))
+    mark = np.zeros(t.n, U64)
+    for k in range(MARKS):
+        mark = mix64(mark + out[k])
+    return mark.view(np.int64)
 
 
 def _mapped(docs: DataFrame, fn, schema: str, names: list[str]) -> DataFrame:
@@ -276,7 +350,7 @@ def _mapped(docs: DataFrame, fn, schema: str, names: list[str]) -> DataFrame:
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(fn(part.column(1))))], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
@@ -302,83 +376,90 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, train
         return ToxicityModel(base=float(y.agg(F.avg("y")).first()[0]))
     rows = [(r["doc_id"], r["y"], int(mix64(np.array([r["doc_id"]], np.int64).view(U64))[0] % U64(4)) == 0) for r in picked]
     ids = spark.createDataFrame(rows, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("aside", T.BooleanType())]))
-    text = base.join(F.broadcast(ids), "doc_id")
-    n_pos = sum(1 for _, v, aside in rows if v == 1 and not aside)
-    n_neg = sum(1 for _, v, aside in rows if v == 0 and not aside)
+    # at most 2 * train_docs texts, read by every round
+    text = persist_table(base.join(F.broadcast(ids), "doc_id").select("y", "text", "aside"), "tx-texts")
+    n_pos, n_neg = (sum(1 for _, v, aside in rows if v == y_ and not aside) for y_ in (1, 0))
+    if not n_pos or not n_neg:
+        return ToxicityModel(base=float(y.agg(F.avg("y")).first()[0]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in row_chunks(b.column(1), CHUNK_BYTES):
-                part = b.slice(i, j - i)
-                t = Tokens(part.column(1))
-                v = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                pairs = np.unique(t.doc * max(1, len(t.offs) - 1) + t.which)
-                d, k = pairs // max(1, len(t.offs) - 1), pairs % max(1, len(t.offs) - 1)
-                n = len(t.offs) - 1
-                pos = np.bincount(k, weights=v[d], minlength=n).astype(np.int64)
-                raw = t.sym.astype(np.uint8).tobytes()
-                own = [raw[x:y] for x, y in zip(t.offs[:-1].tolist(), t.offs[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(pos), pa.array(np.bincount(k, minlength=n).astype(np.int64) - pos)], names=["token", "pos", "neg"])
-
-    table = text.where(~F.col("aside")).select("y", "text").mapInArrow(count, "token binary, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    table = persist_table(table, "tx-tokens")
-    odds = (F.col("pos") / n_pos) / ((F.col("neg") + 0.5) / max(1, n_neg))
-    # so many toxic documents that chance gives no token of the table as many: share^least times their number is under e^-SURE
-    share = (n_pos + 1) / (n_pos + n_neg + 2)
-    least = max(LEAST_DOCS, int(np.ceil((np.log(max(2, table.count())) + SURE) / -np.log(share))))
-    likely = table.where((F.col("pos") >= least) & (F.col("neg") <= F.col("pos") * IMPURE) & (F.octet_length("token") >= 3)).orderBy(F.desc(F.col("pos") * F.log(odds)), "token").limit(POSITIVES).select("token").collect()
-    likely = {bytes(r["token"]): k for k, r in enumerate(likely)}
-    if not likely:
-        return ToxicityModel(base=n_pos / (n_pos + n_neg))
-
-    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in row_chunks(b.column(1), CHUNK_BYTES):
-                part = b.slice(i, j - i)
-                t = Tokens(part.column(1))
-                raw = t.sym.astype(np.uint8).tobytes()
-                number = np.array([likely.get(raw[x:y], -1) for x, y in zip(t.offs[:-1].tolist(), t.offs[1:].tolist(), strict=True)] or [-1])
-                hit = number[t.which] if len(t.which) else np.zeros(0, np.int64)
-                pairs = np.unique(t.doc[hit >= 0] * len(likely) + hit[hit >= 0])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pairs // len(likely))), pa.array((pairs % len(likely)).astype(np.int32))], names=["doc_id", "token"])
-
-    pairs = text.where("y = 1 and not aside").select("doc_id", "text").mapInArrow(holders, "doc_id long, token int").distinct().collect()
-    chosen = explain([(r["doc_id"], r["token"]) for r in pairs], len(likely), least)
-    names = list(likely)
-    positive, weight = [names[k] for k, _ in chosen], np.sqrt(np.array([float(n) for _, n in chosen]))
-    if not positive:
+                t = Sentences(b.column(1).slice(i, j - i))
+                v = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[i:j]
+                pairs, at, which = t.pairs()
+                own = t.word_bytes()
+                names = own + [own[x] + bytes([START]) + own[z] for x, z in pairs.tolist()]
+                # sentences that hold a window count once
+                k = np.concatenate([t.which, len(own) + which])
+                got = np.unique(k * max(1, t.n_sentences) + np.concatenate([t.sentence, t.sentence[at]]))
+                k, d = got // max(1, t.n_sentences), t.sentence_doc[got % max(1, t.n_sentences)] if t.n_sentences else np.zeros(0, np.int64)
+                pos = np.bincount(k, weights=v[d], minlength=len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(pos), pa.array(np.bincount(k, minlength=len(names)).astype(np.int64) - pos)], names=["token", "pos", "neg"])
+
+    train = text.where(~F.col("aside")).select("y", "text")
+    table = map_arrow(train, count, "token binary, pos long, neg long").groupBy("token").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    table = persist_table(table, "tx-windows")
+    total = table.agg(F.sum("pos"), F.sum("neg")).first()
+    if not total[0] or not total[1]:
         return ToxicityModel(base=n_pos / (n_pos + n_neg))
-    neg = [bytes(r["token"]) for r in table.where("neg > 0 and pos <= neg * 4").orderBy(F.xxhash64("token"), "token").limit(NEGATIVES).collect()]
+    prior = total[0] / (total[0] + total[1])
+    clean = table.where("neg > 0")
+    seen = F.col("pos") + F.col("neg")
+    excess = (F.col("pos") - prior * seen) / F.sqrt(prior * (1 - prior) * seen + 1)
+    pick = lambda df, order, n: {bytes(r["token"]): (r["pos"], r["neg"]) for r in df.orderBy(order, "token").limit(n).collect()}
+    lead = pick(table, F.desc(excess), EXCESS)
+    first = lead | pick(clean, F.desc("neg"), COMMON) | pick(table, F.xxhash64("token"), SAMPLED)
+    negative = {t: n for t, (_, n) in pick(clean, F.xxhash64("token"), SAMPLED).items()}
     rng = np.random.default_rng(5)
-    n_lp = min(len(positive), LANDMARKS // 2)
-    landmarks = positive[:n_lp] + [neg[i] for i in rng.choice(len(neg), min(len(neg), LANDMARKS - n_lp), replace=False)] if neg else positive[:n_lp]
     model = ToxicityModel()
-    virtual = gapped(positive[:VIRTUAL])
-    for again in (False, True):
-        tokens = positive + virtual + neg
-        y_ = np.concatenate([np.ones(len(positive) + len(virtual)), -np.ones(len(neg))])
-        half = 0.5 * len(tokens)
-        cost = C * np.concatenate([weight / weight.sum() * half, np.full(len(virtual), half / max(1, len(virtual))), np.full(len(neg), half / max(1, len(neg)))])
-        model.weights, model.bias = fit_machine(tokens, y_, cost, landmarks)
-        if not again:
-            m = model
-
-            def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    own = [bytes(x) for x in b.column(0).to_pylist()]
-                    if own:
-                        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m.tokens(*_pack(own)))], names=["token", "raw"])
-
-            hard = table.where("neg > 0 and pos <= neg * 4").select("token").mapInArrow(judge, "token binary, raw double").orderBy(F.desc("raw"), "token").limit(HARD).collect()
-            known = set(neg)
-            neg += [t for t in (bytes(r["token"]) for r in hard) if t not in known]
-    aside = _mapped(text.where("aside").select("y", "text"), model.evidence, "y int, x array<double>", ["y", "x"]).collect()
-    if not aside:
+
+    def refit(positive: dict[bytes, float], negative: dict[bytes, float], marks: list[bytes]) -> None:
+        """On windows with weights; both kinds weigh the same together."""
+        tokens = [*positive, *negative]
+        sign = np.array([1.0] * len(positive) + [-1.0] * len(negative))
+        weight = np.array([*positive.values(), *negative.values()])
+        cost = np.zeros(len(tokens))
+        for v in (1, -1):
+            cost[sign == v] = C * 0.5 * len(tokens) * weight[sign == v] / weight[sign == v].sum()
+        own = marks[: LANDMARKS // 2]
+        rest = [t for t in negative if t not in set(own)]
+        model.weights, model.bias = fit_machine(tokens, sign, cost, own + [rest[i] for i in rng.choice(len(rest), min(len(rest), LANDMARKS - len(own)), replace=False)])
+
+    # every window under its sentences' labels
+    refit({t: p**0.5 for t, (p, _) in first.items() if p}, {t: n**0.5 for t, (_, n) in first.items() if n}, list(lead))
+    for _ in range(ROUNDS):
+        m = ToxicityModel(model.weights, model.bias)
+
+        def judge(batches: Iterator[pa.RecordBatch], m=m) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    raw = m.tokens(*_pack([bytes(x) for x in b.column(0).to_pylist()]))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw)], names=["token", "pos", "neg", "raw"])
+
+        judged = persist_table(map_arrow(table, judge, "token binary, pos long, neg long, raw double"), "tx-judged")
+        speaks = (F.sqrt("pos") * F.pow(F.least("raw", F.lit(1.0)), 2)).alias("weight")
+        best = judged.where((F.col("pos") > 0) & (F.col("raw") > SPEAKS)).select("token", "pos", speaks).orderBy(F.desc("weight"), "token").limit(POSITIVES).collect()
+        if not best:
+            break
+        positive = {bytes(r["token"]): r["weight"] for r in best}
+        words = [r for r in best if r["pos"] > 1 and START not in bytes(r["token"])][:VIRTUAL]
+        # copies with a letter put in weigh a third of their word, all together
+        virtual = {g: r["weight"] / 3 / max(1, len(r["token"]) - 1) for r in words for g in gapped([bytes(r["token"])])}
+        negative |= {bytes(r["token"]): r["neg"] for r in judged.where("neg > 0").orderBy(F.desc("raw"), "token").limit(HARD).collect()}
+        refit(virtual | positive, {t: n**0.5 for t, n in negative.items()}, list(positive))
+    return calibrated(model, text.where("aside").select("y", "text"), float(y.agg(F.avg("y")).first()[0]))
+
+
+def calibrated(model: ToxicityModel, aside: DataFrame, share: float) -> ToxicityModel:
+    """model with evidence blended and made probabilities on aside(y, text); share: that of toxic labels among all, which the sample need not have."""
+    got = _mapped(aside, model.evidence, "y int, x array<double>", ["y", "x"]).collect()
+    if not got:
         model.knots, model.values = np.array([-1.0, 1.0]), np.array([0.0, 1.0])
         return model
-    x, truth = np.array([r["x"] for r in aside]), np.array([float(r["y"]) for r in aside])
-    # the sample holds kinds in other shares than the corpus; weights bring them back
-    share = y.agg(F.avg("y")).first()[0]
+    x, truth = np.array([r["x"] for r in got]), np.array([float(r["y"]) for r in got])
+    order = np.lexsort((*x.T, truth))  # sums in one order, whatever the partitions
+    x, truth = x[order], truth[order]
     w = np.where(truth > 0, share / max(1, (truth > 0).sum()), (1 - share) / max(1, (truth == 0).sum())) * len(truth)
     model.blend = logistic(x, truth, w)
     raw = x @ model.blend[:-1] + model.blend[-1]
