@@ -1,19 +1,22 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of further identifiers. DataFrame functions only.
 
 Base spans (email, ip, card, phone) are leftmost non-overlapping matches per kind that pass their kind's test. Candidates are
-runs of 6 to 64 ASCII letters and digits with a digit among them; a candidate's lexical pattern is the word before it
-with the signs between. Seeds are candidates inside base spans or of a well-known shape. Then, for ROUNDS rounds on the
-graph of patterns and instances (candidate values):
-
-* a pattern's score is the confidence of its instances over all occurrences of the pattern in the corpus, whatever follows it;
-  it needs SUPPORT distinct seeds or accepted instances;
+maximal runs of ASCII letters, digits and inner _ / + . - of at least LEAST_LENGTH characters, however long, with a digit
+among them. A candidate's lexical patterns are what stands next to it, up to the candidates on either side: the word before it and the
+two words before it with the signs between, and the signs and the word after it. Seeds are candidates inside base spans or
+of a well-known shape. Then, for ROUNDS rounds on the graph of patterns and instances (candidate values):
+
+* a pattern's score is the share of its occurrences in the corpus that stand beside a candidate, times k / (k + 1) for k distinct
+  trusted instances (seeds or accepted ones); it needs SUPPORT of them, and them to be SHARE of its distinct instances. What
+  is not trusted yet does not count against a pattern, ordinary words beside it do;
 * an instance's confidence is 1 for a seed, else the noisy-or of its patterns' scores.
 
 Candidates whose value ends at ACCEPT or more become spans of kind `id`, in whatever context they stand, unless they
 overlap a base span. Counts are over all texts; patterns and instances stay distributed.
 
-Defined results: null is the empty text, which has no spans; repeated rows each get theirs; offsets are code points,
-ends exclusive; kinds are ordered as in KINDS, then by start; an empty table gives no rows; extra columns, whatever their names, pass through find().
+Defined results: null is the empty text, which has no spans; repeated rows each get theirs; texts and words of any length are read
+whole; patterns are compared in lower case; offsets are code points, ends exclusive; kinds are ordered as in KINDS, then by
+start; an empty table gives no rows; extra columns, whatever their names, pass through find().
 The patterns below are the base ones written so that long runs cost linear time; they match the same spans.
 """
 
@@ -27,6 +30,7 @@ from .common import persist_table
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
 SUPPORT = 3
+SHARE = 0.05
 ACCEPT = 0.5
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -34,8 +38,13 @@ EMAIL = rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-CANDIDATE = r"(?<![0-9A-Za-z])(?=[A-Za-z]*[0-9])[0-9A-Za-z]{6,64}(?![0-9A-Za-z])"
-CONTEXT = r"\p{L}+[^\p{L}0-9]{1,6}"
+LEAST_LENGTH = 6
+_SIGN = "[^\\p{L}0-9]{1,6}+"
+_WORD = "(?<!\\p{L})\\p{L}++"
+CANDIDATE = r"(?<![0-9A-Za-z])(?=[A-Za-z_/+.-]*+[0-9])[0-9A-Za-z](?:[_/+.-]*+[0-9A-Za-z]++)*+"
+#: Patterns by kind: where they stand in the text before or after a candidate, and anywhere.
+BEFORE = {"l1": _WORD + _SIGN, "l2": _WORD + _SIGN + "\\p{L}++" + _SIGN}
+AFTER = {"r1": _SIGN + "\\p{L}++"}
 #: Shapes of access keys and hexadecimal secrets.
 SEED_SHAPES = r"^AKIA[0-9A-Z]{16}$|^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,64}$"
 
@@ -91,13 +100,40 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _candidates(text: Column) -> Column:
-    """Candidates with the pattern before each."""
-    found = _matches(text, CANDIDATE, F.rlike(text, F.lit("[0-9]")))
-    before = lambda s: F.substring(text, F.greatest(s["b"] - 39, F.lit(1)), F.least(s["b"], F.lit(40)))
-    return F.transform(found, lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"), s["v"].alias("v"), F.lower(F.regexp_extract(before(s), rf"({CONTEXT})$", 1)).alias("pattern")))
+    """Candidates with the patterns beside each."""
+    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    between = F.split(text, CANDIDATE, -1)
+    kinds = "array<struct<b:int,e:int,v:string,patterns:array<string>>>"
+    ahead = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    beside = F.zip_with(ahead, F.slice(between, F.lit(2), F.size(found)), lambda x, n: F.struct(x["g"].alias("g"), x["m"].alias("m"), n.alias("n")))
+    empty = F.array().cast(kinds)
+
+    def patterns(x):
+        l = [F.concat(F.lit(f"{k}:"), F.lower(F.regexp_extract(x["g"], f"({p})$", 1))) for k, p in BEFORE.items()]  # noqa: E741
+        r = [F.concat(F.lit(f"{k}:"), F.lower(F.regexp_extract(x["n"], f"^({p})", 1))) for k, p in AFTER.items()]
+        return F.filter(F.array(*l, *r), lambda p: F.length(p) > 3)
+
+    def step(acc, x):
+        b = acc["at"] + F.char_length(x["g"])
+        e = b + F.char_length(x["m"])
+        one = F.struct(b.alias("b"), e.alias("e"), x["m"].alias("v"), patterns(x).alias("patterns"))
+        return F.struct(e.alias("at"), F.when(F.length(x["m"]) >= LEAST_LENGTH, F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"]).alias("spans"))
+
+    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    return F.when(F.rlike(text, F.lit("[0-9]")), F.aggregate(beside, start, step, lambda acc: acc["spans"])).otherwise(empty)
+
+
+def _everywhere(text: Column) -> Column:
+    """All patterns of a text, overlapping ones too."""
+
+    def every(kind: str, pattern: str) -> Column:
+        here = f"(?=({pattern}))" if kind in BEFORE else f"(?<![^\\p{{L}}0-9])(?=({pattern}))"
+        return F.transform(F.regexp_extract_all(text, F.lit(here), F.lit(1)), lambda m: F.concat(F.lit(f"{kind}:"), F.lower(m)))
+
+    return F.concat(*[every(k, p) for k, p in {**BEFORE, **AFTER}.items()])
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept: float = ACCEPT, keep_text: bool = True) -> DataFrame:
+def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept: float = ACCEPT, keep_text: bool = True, seed_shapes: str = SEED_SHAPES) -> DataFrame:
     """(row, pii): docs' columns (less text, unless keep_text) in struct `row`, and for each of KINDS its spans, an array of (b, e), in struct `pii`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text"]).alias("row")
@@ -107,22 +143,22 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept:
     rows = persist_table(rows.withColumn("__row", F.monotonically_increasing_id()), "pii-rows")
     plain = {k: F.transform(f"__{k}", lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"))) for k in KINDS[:-1]}
     hits = lambda s: F.exists(F.concat(*plain.values()), lambda x: (x["b"] < s["e"]) & (s["b"] < x["e"]))
-    cand = rows.where(F.size("__cand") > 0).select("__row", F.explode(F.transform("__cand", lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"), s["v"].alias("v"), s["pattern"].alias("pattern"), hits(s).alias("base")))).alias("c")).select("__row", "c.*")
-    cand = persist_table(cand.withColumn("seed", F.col("base") | F.rlike("v", F.lit(SEED_SHAPES))), "pii-candidates")
-    graph = persist_table(cand.groupBy("v", "pattern").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "pii-graph")
-    trust = graph.groupBy("v").agg(F.max(F.col("seed").cast("double")).alias("conf"), F.max("seed").alias("seed"))
-    hopeful = graph.where("seed and pattern <> ''").groupBy("pattern").agg(F.count_distinct("v").alias("k")).where(F.col("k") >= support).select("pattern")
-    reach = graph.where("pattern <> ''")
-    # patterns that later rounds may reach: those with enough distinct candidates, seeds or not
-    later = reach.groupBy("pattern").agg(F.count_distinct("v").alias("k")).where(F.col("k") >= support).select("pattern")
-    wanted = persist_table(hopeful.union(later).distinct(), "pii-patterns")
-    seen = docs.select(F.explode(F.regexp_extract_all(text, F.lit(CONTEXT), F.lit(0))).alias("p")).select(F.lower("p").alias("pattern"))
+    cand = rows.where(F.size("__cand") > 0).select("__row", F.explode(F.transform("__cand", lambda s: F.struct(s["b"].alias("b"), s["e"].alias("e"), s["v"].alias("v"), s["patterns"].alias("patterns"), hits(s).alias("base")))).alias("c")).select("__row", "c.*")
+    cand = persist_table(cand.withColumn("seed", F.col("base") | F.rlike("v", F.lit(seed_shapes))), "pii-candidates")
+    values = persist_table(cand.groupBy("v").agg(F.max("seed").alias("seed")), "pii-values")
+    trust = values.select("v", F.col("seed").cast("double").alias("conf"), "seed")
+    reach = persist_table(cand.select("v", F.explode("patterns").alias("pattern")).groupBy("v", "pattern").agg(F.count("*").alias("n")), "pii-graph")
+    # patterns that a round may reach: those with enough distinct candidates, seeds or not
+    wanted = persist_table(reach.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("pattern"), "pii-patterns")
+    seen = docs.select(F.explode(_everywhere(text)).alias("pattern"))
     totals = persist_table(seen.join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total")), "pii-totals")
+    reach = reach.join(wanted, "pattern", "left_semi")
     for _ in range(rounds):
         trust = persist_table(trust, "pii-trust")
-        edges = reach.select("v", "pattern", "n").join(trust.select("v", "conf", "seed"), "v")
-        score = edges.groupBy("pattern").agg(F.sum(F.col("n") * F.col("conf")).alias("s"), F.sum(F.when(F.col("conf") >= accept, 1).otherwise(0)).alias("k"))
-        score = score.where(F.col("k") >= support).join(totals, "pattern").select("pattern", F.least(F.lit(0.999), F.col("s") / (F.greatest("total", "s") + 1)).alias("score"))
+        edges = reach.join(trust, "v")
+        score = edges.groupBy("pattern").agg(F.sum("n").alias("s"), F.count("*").alias("distinct"), F.count_if(F.col("conf") >= accept).alias("k"))
+        score = score.where((F.col("k") >= support) & (F.col("k") >= SHARE * F.col("distinct"))).join(totals, "pattern")
+        score = score.select("pattern", (F.col("s") / F.greatest("total", "s") * F.col("k") / (F.col("k") + 1)).alias("score"))
         voted = edges.where("not seed").join(score, "pattern").groupBy("v").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("voted"))
         trust = trust.join(voted, "v", "left").select("v", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("voted", F.lit(0.0))).alias("conf"), "seed")
     ids = cand.where("not base").join(trust.where(F.col("conf") >= accept).select("v"), "v", "left_semi")
