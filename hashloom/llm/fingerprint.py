@@ -6,21 +6,25 @@ start, so a text of n words has n and even the shortest texts share what they sh
 number of distinct shingles.
 
 Defined results: null is the empty text; word-less texts have the empty sketch, like one another fully and others not at
-all; equal texts have equal fingerprints; documents with equal doc_id are ordered by text, a null doc_id comes last in
-descending order; a single document is its own successor; an empty table gives no rows.
+all; equal texts have equal fingerprints; texts of any length are sketched whole; documents with equal doc_id are ordered by
+a hash of their text, then by the text; a null doc_id comes last in descending order; repeated rows each get a row; a single
+document is its own successor; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import slice_of
 from .common import persist_table
 
 WORDS = 5
 K = 128
-ROWS_A_BUCKET = 1500
-MOST_BUCKETS = 4096
+ROWS_A_RANGE = 1500
+MOST_CUTS = 4096
 
 
 def with_sketch(df: DataFrame, text: str, out: str, words: int = WORDS, k: int = K) -> DataFrame:
@@ -63,47 +67,72 @@ def encode(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def _next_in_descending(df: DataFrame, carry: list[str]) -> DataFrame:
-    """df(key, text, ...) with next_<c> for c in carry: of the row that follows in descending (key, text), after the last the first.
+def _ranges(df: DataFrame) -> DataFrame:
+    """df(key, h, ...) with `range`, which ascends with (key, h) and cuts rows into parts of about ROWS_A_RANGE.
 
-    Keys are cut into ranges at their quantiles (at most MOST_BUCKETS numbers reach the driver). Each range also gets a copy
-    of the first row of the range that follows, so every row finds its successor within its own range: one shuffle, and no
-    range holds more than about its share of rows."""
+    Keys are cut at their quantiles (MOST_CUTS at most, by binary search), what lies between two cuts in equal steps; a key that fills
+    several quantiles by itself gets a slice of its own, which is cut in equal steps of h. So neither many rows nor one hot key make a large part."""
     rows = df.count()
-    buckets = max(1, min(MOST_BUCKETS, rows // ROWS_A_BUCKET))
-    cuts = df.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0] if rows and buckets > 1 else []
-    cuts = sorted(set(cuts or []))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("key"))) if cuts else F.lit(0)
-    df = df.withColumn("bucket", bucket)
-    tops = persist_table(df.select("bucket", "key").groupBy("bucket").agg(F.max("key").alias("key")), "fp-tops")
-    present = sorted((r["bucket"] for r in tops.select("bucket").collect()), reverse=True)
-    before = {present[(i + 1) % len(present)]: b for i, b in enumerate(present)}  # range -> the one ahead of it
-    firsts = df.join(F.broadcast(tops), ["bucket", "key"]).groupBy("bucket", "key").agg(F.max(F.struct("text", *[c for c in carry if c != "text"])).alias("v"))
-    moved = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("bucket")] if before else F.col("bucket")
-    firsts = firsts.select(*[(moved if c == "bucket" else F.col("key") if c == "key" else F.col(f"v.{c}") if c in ("text", *carry) else F.lit(None).cast(df.schema[c].dataType)).alias(c) for c in df.columns], F.lit(1).alias("copy"))
-    both = df.withColumn("copy", F.lit(0)).unionByName(firsts)
-    w = Window.partitionBy("bucket").orderBy("copy", F.desc("key"), F.desc("text"))
-    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry]).where("copy = 0").drop("copy", "bucket")
+    cuts = max(1, min(MOST_CUTS, rows // ROWS_A_RANGE))
+    if cuts == 1:
+        return df.withColumn("range", F.lit(0).cast("long"))
+    found = df.agg(F.percentile_approx("key", [i / cuts for i in range(1, cuts)], 20 * cuts)).first()[0]
+    steps = max(1, rows // cuts // ROWS_A_RANGE)
+    hot = {k: n for k, n in Counter(found).items() if n > 1}
+    at = sorted({*found, *(max(k - 1, -(2**63)) for k in hot)})
+    df, slice_ = df.withColumn("__slice", slice_of(F.col("key"), at)), F.col("__slice")
+    part = lambda x, lo, hi, n: F.least(F.floor((x.cast("double") - lo) / (hi - lo) * n), n - 1).cast("long")
+    ends = F.array(*[F.lit(float(c)) for c in [-(2.0**63), *at, 2.0**63]])
+    lo, hi = F.get(ends, slice_), F.get(ends, slice_ + 1)
+    inner = part(F.col("key"), lo, F.greatest(hi, lo + 1), F.lit(steps)) if steps > 1 else F.lit(0).cast("long")
+    sub = inner
+    if hot:
+        own = F.create_map(*[F.lit(x) for k, n in hot.items() for x in (at.index(k), n * steps)])[slice_]
+        sub = F.when(own.isNotNull(), part(F.col("h"), F.lit(-(2.0**63)), F.lit(2.0**63), own)).otherwise(inner)
+    return df.withColumn("range", F.shiftleft(slice_.cast("long"), 40) + sub).drop("__slice")
+
+
+def _next_in_descending(df: DataFrame, carry) -> DataFrame:
+    """df(key, text, ...) with carry(df)'s columns and next_<c> for each of them and the text: of the row that follows in descending (key, h, text), after the last the first.
+
+    Each range also gets a copy of the first row of the range that follows, so every row finds its successor within its own range: one
+    shuffle of texts. Firsts are found by their numbers before any text is compared."""
+    df = _ranges(df.withColumn("h", F.xxhash64("text")))
+    keys = df.select("range", "key", "h")
+    tops = keys.groupBy("range").agg(F.max("key").alias("key"))
+    tops = keys.join(tops, ["range", "key"]).groupBy("range", "key").agg(F.max("h").alias("h"))
+    # (one row a range)
+    tops = persist_table(tops.withColumn("ahead", F.lag("range").over(Window.orderBy("range"))).withColumn("last", F.max("range").over(Window.partitionBy())), "fp-tops")
+    # in descending order a range's successor is the next lower one, so its first row goes to the next higher
+    up = tops.select(F.col("ahead").alias("range"), F.col("range").alias("to")).where("range is not null").unionByName(tops.where("ahead is null").select(F.col("last").alias("range"), F.col("range").alias("to")))
+    firsts = df.join(tops.select("range", "key", "h"), ["range", "key", "h"]).groupBy("range", "key", "h").agg(F.max("text").alias("text"))
+    firsts = firsts.join(up, "range").select(F.col("to").alias("range"), "key", "h", "text")
+    rest = [c for c in df.columns if c not in ("range", "key", "h", "text")]
+    firsts = firsts.select("range", "key", "h", "text", *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rest], F.lit(1).alias("copy"))
+    both = carry(df.withColumn("copy", F.lit(0)).unionByName(firsts))
+    names = ["text", *[c for c in both.columns if c not in df.columns and c != "copy"]]
+    w = Window.partitionBy("range").orderBy("copy", F.desc("key"), F.desc("h"), F.desc("text"))
+    return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in names]).where("copy = 0").drop("copy", "range", "h")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
     """(doc_id, text, sketch) for each row; a null text is empty."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return with_sketch(base, "text", "sketch", words, k)
+    return with_sketch(_texts(docs), "text", "sketch", words, k)
 
 
 def edited_fingerprints(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
     """(doc_id, n_chars, edited, sketch, edited_sketch, next_sketch): edited has its last third of code points replaced by the start of the next document, in descending doc_id."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    df = _next_in_descending(base, ["text"])
-    # the successor's sketch is made from its text here, in the same pass
+    base = _texts(docs).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
+    # a text is sketched once; its predecessor gets the sketch with the text
+    df = _next_in_descending(base, lambda df: with_sketch(df, "text", "sketch", words, k))
     df = df.withColumn("n_chars", F.char_length("text").cast("long"))
     m = F.floor(F.col("n_chars") / 3).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - m), F.substring("next_text", F.lit(1), m)))
-    for text, out in (("text", "sketch"), ("edited", "edited_sketch"), ("next_text", "next_sketch")):
-        df = with_sketch(df, text, out, words, k)
-    return df.drop("text", "next_text", "key")
+    return with_sketch(df, "edited", "edited_sketch", words, k).drop("text", "next_text", "key")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

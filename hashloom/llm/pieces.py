@@ -1,7 +1,8 @@
 """SentencePiece sampling by forward filtering and backward sampling, and lossless decoding.
 
-A text gets a leading space; each space starts a unit, in which a space stands for the vocabulary's word mark. No piece
-holds a word mark inside, so the piece lattice falls apart at units, and equal units of a chunk share one lattice. The
+A text gets a leading space; in its units a space stands for the vocabulary's word mark. A unit is a run of spaces and the
+other characters up to the next run. A piece holds word marks at its start only, or is nothing but marks (the vocabulary has
+runs of them), so no piece crosses from unit to unit, the whole piece lattice falls apart at units, and equal units of a chunk share one. The
 lattice is over bytes: an edge for every piece that matches, and byte pieces for characters that have no piece of their own
 (a literal word mark in the text among them). Forward filtering sums the probabilities of all segmentations up to each
 position; backward sampling then draws the last piece, the one before it, and so on, for all units of a chunk in step.
@@ -11,7 +12,9 @@ Piece probabilities: a merge-based vocabulary has ranks, not probabilities; the
 falls as Zipf's law does. alpha sharpens (large) or flattens (0) the choice.
 
 Defined results: a null or empty text has no pieces and decodes to ""; a null key draws as key 0; repeated rows get equal
-pieces; texts of any length or bytes decode to themselves; an empty table gives no rows.
+pieces; pieces of equal probability are told apart by length; texts of any length or bytes decode to themselves (a unit
+takes a step of Python a byte of its length, so one of many MB without a space is slow); an empty table gives no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, MULT, U64, _powers, mix64, row_chunks, text_buffer, word_hashes
+from .common import BYTE_CODE, MULT, U64, _powers, map_arrow, mix64, row_chunks, text_buffer, word_hashes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
@@ -59,7 +62,7 @@ class Vocabulary:
             else:
                 raw = p.replace(mark, " ").encode()
                 texts.append(raw)
-                if mark not in p[1:] and m.get_score(i) > UNUSED:
+                if (mark not in p[1:] or not p.strip(mark)) and m.get_score(i) > UNUSED:
                     weights[i] = -alpha * np.log(RANK_SHIFT - m.get_score(i))
                     usable[raw] = i
         if (self.byte_id < 0).any():
@@ -187,7 +190,11 @@ def sample(col: pa.Array, keys: np.ndarray, v: Vocabulary, seed: int = 0) -> tup
     body = np.ones(len(raw), bool)
     body[offs[:-1][some]] = False
     raw[body] = raw0
-    heads = np.flatnonzero(raw == 0x20)
+    space = raw == 0x20
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[offs[:-1][some]] = True
+    heads = np.flatnonzero(first)
     if not len(heads):
         return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
     tails = np.append(heads[1:], len(raw))
@@ -255,7 +262,7 @@ def sampled_pieces(docs: DataFrame, key: str = "doc_id", model: str = MODEL, alp
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids)), pa.array(np.diff(offs)), text], names=[key, "pieces", "n_pieces", "decoded"])
 
     rows = docs.select(key, F.col("text").cast("string").alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("k"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, pieces array<int>, n_pieces long, decoded string")
+    return map_arrow(rows, run, f"`{key}` {kind}, pieces array<int>, n_pieces long, decoded string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Exact token counts of a corpus for every context limit, from a histogram of encoded lengths.
 
-Each whole text is encoded by a byte-level BPE; documents are then counted by length (partial counts before the shuffle), and
-suffix sums over the histogram answer, for every limit L: documents and tokens at or above L, tokens kept if texts are cut
-at L, chunks of L, and any quantile. Suffix sums run in two levels, within blocks of lengths and over block totals, so
-no task holds more than a block or one row a block.
-
-Defined results: a null text is empty; empty texts have length 0 and are counted; repeated rows count each; an empty table
-gives an empty histogram. doc_id and other columns do not matter to the histogram.
+Each whole text is encoded once by a byte-level BPE; documents are then counted by length (partial counts before the shuffle), and
+suffix sums over the written histogram answer, for every limit L: documents and tokens at or above L, tokens kept if texts are cut
+at L, and any quantile. Suffix sums run in two levels, within blocks of BLOCK lengths and over block totals, so no task holds
+more than a block or one row a block (the longest text's tokens over BLOCK, at most 2^31 / BLOCK).
+
+Defined results: a null text is empty; empty texts have length 0 and are counted; repeated rows count each; lengths that tie are
+one row; texts of any length are encoded whole; an empty table gives an empty histogram, and answers of null. doc_id and other
+columns do not matter to the histogram.
 """
 
 from __future__ import annotations
@@ -21,23 +22,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_chunks
+from .common import map_arrow, persist_table, row_chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how texts are split before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_SPACE = 5000
 BLOCK = 1024
+LIMITS = [1 << k for k in range(7, 21)]
+QUANTILES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999, 1.0]
 _SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_SPACE)
 
 
-@lru_cache(maxsize=2)
-def encoding(path: str):
+@lru_cache(maxsize=4)
+def encoding(path: str, pattern: str = PATTERN):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, path: str = VOCABULARY) -> list[int]:
@@ -48,7 +51,7 @@ def encode(text: str, path: str = VOCABULARY) -> list[int]:
     for m in _SPACES.finditer(text):
         end = m.end() if m.end() == len(text) else m.end() - 1
         out += enc.encode_ordinary(text[at : m.start()])
-        out += enc._encode_single_piece(text[m.start() : end])
+        out += encoding(path, r"(?s).+").encode_ordinary(text[m.start() : end])
         at = end
     return out + enc.encode_ordinary(text[at:])
 
@@ -62,14 +65,14 @@ def token_lengths(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 n = [len(encode(t, path)) if t else 0 for t in b.column(1).slice(i, j - i).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.array(n, np.int64))], names=["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id %s, n_tokens long" % docs.schema["doc_id"].dataType.simpleString())
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, "doc_id %s, n_tokens long" % docs.schema["doc_id"].dataType.simpleString())
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """One row a distinct length L = n_tokens, with n_docs of that length and for limit L: docs_from and tokens_from (texts of at least L), tokens_upto
     (texts of at most L), docs_upto, tokens_cut (tokens left when every text is cut at L), and total docs and tokens."""
-    h = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
-    h = h.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    h = persist_table(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "tc-lengths")  # read twice below
+    h = h.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
@@ -84,14 +87,25 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def answers(histogram: DataFrame, limits: list[int], quantiles: list[float]) -> DataFrame:
-    """(kind, argument, value): truncated totals for each limit and the length at each quantile (the least length that at least that share of documents has or is below)."""
-    cut = lambda L: F.sum(F.least("n_tokens", F.lit(L)) * F.col("n_docs"))
+    """(kind, argument, value) from the suffix sums: for each limit the tokens left when texts are cut there ("cut") and the texts that are at least as long
+    ("docs_from"), and the length at each quantile (the least length that at least that share of documents has or is below). An empty histogram gives nulls."""
+    # the row of the least length that reaches the limit tells what lies at or above it; without one nothing does
+    reach = lambda L: F.min(F.when(F.col("n_tokens") >= L, F.struct("n_tokens", "docs_from", "tokens_from")))
+    all_ = F.max("total_tokens")
+    cut = lambda L: F.coalesce(all_ - reach(L)["tokens_from"] + L * reach(L)["docs_from"], all_)
     at = lambda q: F.min(F.when(F.col("docs_upto") >= F.lit(q) * F.col("total_docs"), F.col("n_tokens")))
-    parts = [F.struct(F.lit("cut").alias("kind"), F.lit(float(L)).alias("argument"), cut(L).alias("value")) for L in limits]
-    parts += [F.struct(F.lit("quantile").alias("kind"), F.lit(float(q)).alias("argument"), at(q).cast("long").alias("value")) for q in quantiles]
+    row = lambda kind, argument, value: F.struct(F.lit(kind).alias("kind"), F.lit(float(argument)).alias("argument"), value.cast("long").alias("value"))
+    parts = [row("cut", L, cut(L)) for L in limits] + [row("docs_from", L, F.when(all_.isNotNull(), F.coalesce(reach(L)["docs_from"], F.lit(0)))) for L in limits]
+    parts += [row("quantile", q, at(q)) for q in quantiles]
     return histogram.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram with its sums (kind length, argument the length), and answers for LIMITS and QUANTILES in column tokens_cut (cut), docs_from or n_tokens (quantile)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return length_histogram(token_lengths(docs))
+    h = persist_table(length_histogram(token_lengths(docs)), "tc-histogram")
+    a = answers(h, LIMITS, QUANTILES)
+    of = lambda kind, name: F.when(F.col("kind") == kind, F.col("value")).alias(name)
+    told = a.select("kind", "argument", of("quantile", "n_tokens"), of("docs_from", "docs_from"), of("cut", "tokens_cut"))
+    rows = h.select(F.lit("length").alias("kind"), F.col("n_tokens").cast("double").alias("argument"), *h.columns)
+    return rows.unionByName(told, allowMissingColumns=True)
