@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a folder of our own (local runs)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="hashloom-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+#: Rows of an Arrow batch between the JVM and Python: whole texts stand in them, in both processes.
+BATCH_ROWS = 1024
 
 
 def persist_table(df: DataFrame, label: str) -> DataFrame:
@@ -30,6 +28,31 @@ def persist_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(fn, schema) with memory in bounds: batches hold at most BATCH_ROWS rows (set in the session; Spark's default of 10,000 whole texts takes
+    hundreds of MB in the JVM and in Python), and workers give back what a task leaves unused."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df.mapInArrow(_frugal(fn), schema)
+
+
+def _frugal(fn: Callable) -> Callable:
+    """fn, giving unused memory back to the system when its task ends: workers are kept, and what each keeps adds up over operators."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+    return run
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,6 +68,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """docs as one struct column `row`, for functions that pass rows through; row_text() has its texts, so that they cross to Python once."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def row_text(batch: pa.RecordBatch) -> pa.Array:
+    rows = batch.column(0)
+    text = rows.field(rows.type.get_field_index("text"))
+    return text if pa.types.is_string(text.type) else text.cast(pa.string())
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and n+1 offsets into them; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -141,9 +175,3 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     codes *= pw[at]
     h = np.add.reduceat(codes, first)
     return mix64(h ^ (lens.astype(U64) * U64(0xD6E8FEB86659FD93)))
-
-
-def with_columns_prefixed(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the named columns, in that order; missing ones are null strings."""
-    have = {c for c in df.columns}
-    return df.select(*[df[c] if c in have else F.lit(None).cast("string").alias(c) for c in keep])

@@ -26,10 +26,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, row_chunks, shared_dir, text_buffer, word_hashes, word_spans
+from .common import LOWER, map_arrow, row_chunks, row_text, shared_dir, text_buffer, whole_rows, word_hashes, word_spans
 
 WINDOW = 13
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 SHARD_ROWS = 1 << 16
 CHUNK_BYTES = 2 << 20
 BENCH_BYTES = 4 << 20
@@ -361,16 +361,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         held, size, rows = [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = shard_results([b.column(1) for b in held], rows, loaded)
+            found = shard_results([row_text(b) for b in held], rows, loaded)
             at = 0
             for b in held:
                 yield pa.RecordBatch.from_arrays([b.column(0), found.slice(at, len(b))], names=["row", "found"])
                 at += len(b)
 
         for b in batches:
-            for i, j in row_chunks(b.column(1), SHARD_BYTES):
+            text = row_text(b)
+            for i, j in row_chunks(text, SHARD_BYTES):
                 part = b.slice(i, j - i)
-                nbytes = int(text_buffer(part.column(1))[1][-1])
+                nbytes = int(text_buffer(text.slice(i, j - i))[1][-1])
                 if held and (size + nbytes > SHARD_BYTES or rows + len(part) > SHARD_ROWS):
                     yield from flush()
                     held, size, rows = [], 0, 0
@@ -379,7 +380,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         if held:
             yield from flush()
 
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_arrow(whole_rows(docs), run, schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, mix64, persist_table, row_chunks, text_buffer, word_hashes, word_spans
+from .common import LOWER, U64, map_arrow, mix64, persist_table, row_chunks, row_text, text_buffer, whole_rows, word_hashes, word_spans
 
 FEATURES = 256
 GAMMA = 0.06
 RIDGE = 1e-3
 BINS = 1024
 SEED = 11
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 8192
 
 _b = np.arange(256)
@@ -85,18 +85,22 @@ def document_statistics(col: pa.Array) -> np.ndarray:
     return np.concatenate([share, more], axis=1)
 
 
+def _chunks(col: pa.Array) -> Iterator[tuple[int, int]]:
+    for i, j in row_chunks(col, CHUNK_BYTES):
+        for k in range(i, j, CHUNK_DOCS):
+            yield k, min(j, k + CHUNK_DOCS)
+
+
 def statistics_table(docs: DataFrame) -> DataFrame:
     """(doc_id, stats) for each row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in row_chunks(b.column(1), CHUNK_BYTES):
-                for k in range(i, j, CHUNK_DOCS):
-                    m = min(j, k + CHUNK_DOCS)
-                    x = document_statistics(b.column(1).slice(k, m - k))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, m - k), _lists(x)], names=["doc_id", "stats"])
+            for i, j in _chunks(b.column(1)):
+                x = document_statistics(b.column(1).slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _lists(x)], names=["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<float>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, stats array<float>")
 
 
 def _lists(x: np.ndarray) -> pa.Array:
@@ -183,7 +187,7 @@ def fit(stats: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Q
         values = np.concatenate([a[upper], r])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["cell", "v"])
 
-    parts = rows.where(~calibration).select("stats", "y").mapInArrow(sums, "cell int, v double")
+    parts = map_arrow(rows.where(~calibration).select("stats", "y"), sums, "cell int, v double")
     total = np.zeros(len(upper[0]) + d)
     for r in parts.groupBy("cell").agg(F.sum("v").alias("v")).collect():
         total[r["cell"]] = r["v"]
@@ -206,7 +210,7 @@ def _scored(rows: DataFrame, model: QualityModel) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(np.clip(model.raw(_matrix(b.column(0))), -1, 2))], names=["y", "raw"])
 
-    return rows.select("stats", "y").mapInArrow(run, "y double, raw double")
+    return map_arrow(rows.select("stats", "y"), run, "y double, raw double")
 
 
 def score(stats: DataFrame, model: QualityModel) -> DataFrame:
@@ -216,7 +220,7 @@ def score(stats: DataFrame, model: QualityModel) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_matrix(b.column(1))))], names=["doc_id", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return map_arrow(stats, run, "doc_id long, score double")
 
 
 def scored_rows(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -224,14 +228,12 @@ def scored_rows(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in row_chunks(b.column(1), CHUNK_BYTES):
-                for k in range(i, j, CHUNK_DOCS):
-                    m = min(j, k + CHUNK_DOCS)
-                    x = document_statistics(b.column(1).slice(k, m - k)).astype(np.float32).astype(np.float64)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, m - k), pa.array(model.score(x))], names=["row", "score"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"row {docs.schema.simpleString()}, score double")
+            text = row_text(b)
+            for i, j in _chunks(text):
+                x = document_statistics(text.slice(i, j - i)).astype(np.float32).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(model.score(x))], names=["row", "score"])
+
+    return map_arrow(whole_rows(docs), run, f"row {docs.schema.simpleString()}, score double")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import persist_table, shared_dir, shuffle_width
+from .common import map_arrow, persist_table, shared_dir, shuffle_width
 
 BLOCK_LINES = 3000
 FILE_BYTES = 1 << 30
@@ -155,7 +155,7 @@ def write_archives(pages: DataFrame, out_dir: str, min_revisit: int = 0, file_by
             if out is not None:
                 out.close()
 
-    return persist_table(marked.mapInArrow(write, CAPTURES), "warc-captures")
+    return persist_table(map_arrow(marked, write, CAPTURES), "warc-captures")
 
 
 def build_index(captures: DataFrame, index_dir: str, shards: int | None = None, block_lines: int = BLOCK_LINES) -> list[tuple[str, str]]:
@@ -194,7 +194,7 @@ def build_index(captures: DataFrame, index_dir: str, shards: int | None = None,
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([directory[-1][1]]), pa.array([name])], names=["first", "last", "name"])
 
     ordered = captures.repartitionByRange(shards, "urlkey", "file", "offset").sortWithinPartitions("urlkey", "file", "offset")
-    tops = persist_table(ordered.mapInArrow(pack, "first string, last string, name string"), "warc-tops")
+    tops = persist_table(map_arrow(ordered, pack, "first string, last string, name string"), "warc-tops")
     return sorted((r["first"], r["last"], r["name"]) for r in tops.collect())
 
 
@@ -280,8 +280,8 @@ def lookup(spark: SparkSession, keys: DataFrame, tops: list[tuple[str, str, str]
         if block:
             yield from emit(block, wanted)
 
-    pairs = keys.select("urlkey").where("urlkey is not null").distinct().mapInArrow(locate, "name string, at long, size long, urlkey string")
-    return pairs.repartition(shuffle_width(spark), "name", "at").sortWithinPartitions("name", "at").mapInArrow(fetch, schema)
+    pairs = map_arrow(keys.select("urlkey").where("urlkey is not null").distinct(), locate, "name string, at long, size long, urlkey string")
+    return map_arrow(pairs.repartition(shuffle_width(spark), "name", "at").sortWithinPartitions("name", "at"), fetch, schema)
 
 
 def url_keys(pages: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def url_keys(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in b.column(0).to_pylist()], pa.string())], names=["urlkey"])
 
-    return pages.select(F.col("url").cast("string")).distinct().mapInArrow(key, "urlkey string").distinct()
+    return map_arrow(pages.select(F.col("url").cast("string")).distinct(), key, "urlkey string").distinct()
 
 
 def archive_round_trip(pages: DataFrame, min_revisit: int = 0, with_payload: bool = True) -> DataFrame:
