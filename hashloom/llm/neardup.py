@@ -4,39 +4,43 @@ A document's set is its distinct `words`-word shingles. Its sketch has COORDS co
 throws each element into a hashed bin, round COORDS + j puts all into bin j, and a bin keeps the least value of the first
 round that reaches it. Every coordinate thus fills even for one-element sets, and agreement of coordinates estimates
 resemblance with the concentration of sampling without replacement. BANDS bands of ROWS coordinates select candidates: at
-similarity 0.8 no band agrees with probability (1 - 0.8^6)^42 < 3e-6.
+similarity 0.8 no band agrees with probability (1 - 0.8^5)^32 < 4e-6.
 
 Equal sets are one node (keys and shingles are 64-bit hashes). Each node is verified against the least member of all its
-buckets. Where a bucket then still holds several components, its members are compared across components, in blocks of bounded
-size: pairs whose sketches agree to within five deviations of the threshold are verified too. So groups of near copies cost
-rows in proportion to their size, nothing is capped, and every link is confirmed on full sets.
+buckets. Where a bucket then still holds several components, its members are compared across components by their sketches, in
+blocks of bounded rows and bytes. Pairs whose sketches agree to within SIGMAS deviations of the threshold are tested on full
+sets: in ROUNDS rounds each straggler's best partner that it has not tried, which joins nearly all that is to be joined, and
+then all pairs that are left between components, without a row for each. So groups of near copies cost rows in proportion to
+their size, nothing is capped, and every link is confirmed on full sets.
 
 Defined results: null, empty and word-less texts have the empty set, are linked with nothing and are their own
-component; repeated rows each get a row; a component's id is its least non-null doc_id; a null doc_id is never kept unless
+component; repeated rows each get a row; texts of any length are shingled whole (a text that exceeds a chunk is a chunk of its
+own); a component's id is its least non-null doc_id, ties of equal ids are all kept; a null doc_id is never kept unless
 it stands alone. An empty table gives no rows; further columns are not touched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, mix64, persist_table, row_chunks, shuffle_width, text_buffer, word_hashes, word_spans
+from .common import LOWER, U64, map_arrow, mix64, persist_table, row_chunks, row_text, shuffle_width, text_buffer, whole_rows, word_hashes, word_spans
 from .components import connected_components
 
-BANDS, ROWS = 42, 6
+BANDS, ROWS = 32, 5
 COORDS = BANDS * ROWS
-SKETCH_BYTES = COORDS + 4 * BANDS
 CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 1024
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 SALTS = 256
 BROADCAST_IDS = 2_000_000
 SIGMAS = 5
+PAIRS_HELD = 100_000
+ROUNDS = 2
 
 _b = np.arange(256)
 SPACE = (_b == 0x20) | ((_b >= 9) & (_b <= 13))
@@ -143,13 +147,12 @@ def sketch_table(docs: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(loffs), pa.array(bands.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sizes), pa.array(keys, pa.int64()), lists], names=["doc_id", "n_shingles", "node", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(rows, run, "doc_id long, n_shingles long, node long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
-    """(node, sketch, elements) of the nodes in need(node, rep): their texts are read again, other texts are not.
-
-    The sketch is 8 bits a coordinate, then 32 bits of each band's key."""
+    """(node, sketch, elements) of the nodes in need(node, rep): their texts are read again, other texts are not. The sketch is 8 bits a coordinate."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = need.select("rep")
     if ids.count() <= BROADCAST_IDS:
@@ -161,17 +164,16 @@ def full_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
         for b in batches:
             for i, j in _chunks(b.column(0)):
                 el, offs = shingle_sets(b.column(0).slice(i, j - i), words)
-                raw, sk = el.tobytes(), sketches(el, offs)
-                small = np.hstack([mix64(sk).astype(np.uint8), band_keys(sk).astype(np.uint32).view(np.uint8)]).tobytes()
+                raw, small = el.tobytes(), mix64(sketches(el, offs)).astype(np.uint8).tobytes()
                 out = []
                 for k, (node, x, y) in enumerate(zip(set_keys(el, offs), offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
                     if node is not None and node not in seen:
                         seen.add(node)
-                        out.append((node, small[SKETCH_BYTES * k : SKETCH_BYTES * (k + 1)], raw[8 * x : 8 * y]))
+                        out.append((node, small[COORDS * k : COORDS * (k + 1)], raw[8 * x : 8 * y]))
                 cols = list(zip(*out, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["node", "sketch", "elements"])
 
-    found = text.mapInArrow(sets, "node long, sketch binary, elements binary")
+    found = map_arrow(text, sets, "node long, sketch binary, elements binary")
     return found.join(need.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -184,108 +186,200 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are linked. Pairs of a hub, which is `a`, are dealt by SALTS salts, each with a copy of the hub's set; a node in few pairs has no more copies than pairs."""
+    """Those of pairs (a, b) whose full sets are linked.
+
+    Pairs are dealt by a, the hub of its pairs, and SALTS salts of b. A group is a's set and then those of its b, one row each, so a task
+    holds two sets at a time however long their texts are; a node in few pairs has no more copies than pairs."""
     own = sets.select("node", "elements")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    heads = salted.select("a", "salt").distinct().join(own.toDF("a", "set_a"), "a")
-    both = salted.join(own.toDF("b", "set_b"), "b").join(heads, ["a", "salt"]).select("a", "b", "set_a", "set_b")
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    tails = salted.join(own, F.col("b") == F.col("node")).select("a", "salt", F.lit(1).alias("kind"), "node", "elements")
+    heads = salted.select("a", "salt").distinct().join(own, F.col("a") == F.col("node")).select("a", "salt", F.lit(0).alias("kind"), "node", "elements")
+    both = heads.unionByName(tails).repartition(shuffle_width(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "kind")
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), num, den) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return persist_table(both.mapInArrow(hold, "a long, b long"), "nd-edges")
+        hub, head = None, np.zeros(0, U64)
+        for batch in batches:
+            a, b = [], []
+            for x, kind, node, el in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                own = np.frombuffer(el.as_buffer(), U64)
+                if not kind:
+                    hub, head = x, own.copy()  # outlives its batch
+                elif x == hub and _linked(head, own, num, den):
+                    a.append(x)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return persist_table(map_arrow(both, hold, "a long, b long"), "nd-edges")
+
+
+def _least(num: int, den: int) -> int:
+    """Agreeing coordinates from which a pair is a candidate: SIGMAS deviations under the threshold."""
+    share = num / den
+    return int(np.floor(COORDS * (share - SIGMAS * np.sqrt(share * (1 - share) / COORDS))))
 
 
-def _across(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components that share a bucket: members(key, band, node, comp), verified on full sets.
+def _cells(members: DataFrame, size: Column, columns: list[str]) -> DataFrame:
+    """members(key, node, comp, size of its row in bytes, ...) dealt to the cells in which they meet: i, j, straggler, and the columns.
 
-    In each bucket, those outside its largest component (all of them stragglers) meet all members, block by block of about BLOCK rows; a
-    task holds one block of each. Pairs whose sketches agree well are tested, the likeliest first, in the first bucket they
-    share; pairs of components that a link of the block has joined need no more, so links come about one a component."""
-    per = members.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"))
-    per = persist_table(per.where("m > top").select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("m") - F.col("top")) / BLOCK).cast("int").alias("ns")), "nd-buckets")
-    rows = members.join(per, "key").join(sets, "node")
+    Of a key with several components, those outside its largest one (all of them stragglers) meet all members, block by block of about BLOCK rows and
+    BLOCK_BYTES bytes; a cell holds one block of each. A straggler stands among the members of its block and, in every block, on the other side."""
+    per = members.withColumn("__size", size).groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("__size").alias("s")).groupBy("key")
+    per = per.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"), F.sum("s").alias("bytes"), F.max_by("s", F.struct("c", "comp")).alias("main_bytes"))
+    blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
+    per = per.where("m > top").select("key", "main", blocks(F.col("m"), F.col("bytes")).alias("nm"), blocks(F.col("m") - F.col("top"), F.col("bytes") - F.col("main_bytes")).alias("ns"))
+    rows = members.join(per, "key")
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     bm, bs = F.pmod(F.xxhash64("node"), F.col("nm").cast("long")), F.pmod(F.xxhash64("node", F.lit(7)), F.col("ns").cast("long"))
     cells_of = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: cell(bm, j))
-    # a straggler stands among the members of its block and, in every block, on the other side
     cells_too = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: cell(i, bs))
-    either = F.when(F.col("comp") != F.col("main"), F.array_union(cells_of, cells_too)).otherwise(cells_of)
-    cells = rows.select("key", "band", "node", "comp", (F.col("comp") != F.col("main")).alias("straggler"), "sketch", "elements", F.explode(either).alias("cell"))
-    cells = cells.select("key", "cell.i", "cell.j", "band", "node", "comp", "straggler", "sketch", "elements")
-    cells = cells.repartition(shuffle_width(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    share = num / den
-    least = int(np.floor(COORDS * (share - SIGMAS * np.sqrt(share * (1 - share) / COORDS))))
+    straggler = F.col("comp") != F.col("main")
+    either = F.when(straggler, F.array_union(cells_of, cells_too)).otherwise(cells_of)
+    return rows.select("key", F.explode(either).alias("cell"), straggler.alias("straggler"), "node", "comp", *columns).select("key", "cell.i", "cell.j", "straggler", "node", "comp", *columns)
 
-    def links(group: list) -> list[tuple[int, int]]:
-        s = [k for k, r in enumerate(group) if r[3]]
-        if not s or len(group) < 2:
-            return []
-        both = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), SKETCH_BYTES)
-        sk, tags = both[:, :COORDS], both[:, COORDS:].copy().view(np.uint32)
-        size = np.array([len(r[5]) // 8 for r in group])
-        comp, band = np.array([r[2] for r in group]), group[0][0]
-        tests = []
-        for k in s:
-            same = sk == sk[k]
-            agree = same.sum(axis=1)
-            ok = (agree >= least) & (den * np.minimum(size, size[k]) >= num * np.maximum(size, size[k])) & (comp != comp[k])
-            at = np.flatnonzero(ok)
-            if len(at):
-                # coordinates of 8 bits agree by chance too, the keys' bits tell the buckets really shared
-                first = (same[at].reshape(len(at), BANDS, ROWS).all(axis=2) & (tags[at] == tags[k])).argmax(axis=1)
-                tests += [(-int(agree[m]), k, m) for m, f in zip(at.tolist(), first.tolist(), strict=True) if f == band]
-        tests.sort()
-        root: dict[int, int] = {}
-
-        def top(c: int) -> int:
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
 
-        out = []
-        for _, k, m in tests:
-            x, y = top(group[k][2]), top(group[m][2])
-            if x != y and _linked(np.frombuffer(group[k][5], U64), np.frombuffer(group[m][5], U64), num, den):
-                root[max(x, y)] = min(x, y)
-                out.append((group[k][1], group[m][1]))
-        return out
+def _met(cells: DataFrame, fn: Callable, names: list[str]) -> DataFrame:
+    """Pairs that fn gives of each cell: rows as tuples (straggler, node, comp, ...)."""
+    cells = cells.repartition(shuffle_width(cells.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def batch(pairs: set) -> pa.RecordBatch:
+        got = sorted(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, out = None, [], []
+        at, group, out = None, [], set()
         for b in batches:
             for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, i, j) != at:
-                    out += links(group)
+                    out.update(fn(group))
                     at, group = (key, i, j), []
                 group.append(row)
-        out += links(group)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            if len(out) >= PAIRS_HELD:
+                yield batch(out)
+                out = set()
+        out.update(fn(group))
+        yield batch(out)
+
+    return map_arrow(cells, run, ", ".join(f"{n} long" for n in names)).distinct()
+
+
+class _Joined:
+    """Union of numbers."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def top(self, c: int) -> int:
+        while self.root.get(c, c) != c:
+            c = self.root[c]
+        return c
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.top(x), self.top(y)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _candidates(group: list, least: int, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each straggler of a cell: its place, the places of its candidates, members of other components whose sketches agree well enough, and how many coordinates agree.
+    Rows begin with (straggler, node, comp, size, sketch)."""
+    s = [k for k, r in enumerate(group) if r[0]]
+    if not s or len(group) < 2:
+        return
+    sk = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), COORDS)
+    comp, size = (np.array([r[k] for r in group]) for k in (2, 3))
+    for k in s:
+        at = np.flatnonzero((den * np.minimum(size, size[k]) >= num * np.maximum(size, size[k])) & (comp != comp[k]))
+        agree = (sk[at] == sk[k]).sum(axis=1)
+        yield k, at[agree >= least], agree[agree >= least]
+
 
-    return persist_table(cells.mapInArrow(run, "a long, b long"), "nd-across")
+def _with_sketches(cells: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
+    own = sets.select("node", (F.octet_length("elements") / 8).cast("int").alias("size"), "sketch", *more)
+    return cells.join(own, "node").select("key", "i", "j", "straggler", "node", "comp", "size", "sketch", *more, *[c for c in cells.columns if c == "tried"])
+
+
+def _best_partners(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(owner, partner): in each bucket and block of members(key, node, comp, tried) a straggler's candidate that agrees best and that it has not tried, so candidates are in proportion to members."""
+    least = _least(num, den)
+
+    def best(group: list) -> list[tuple[int, int]]:
+        out = []
+        for k, at, agree in _candidates(group, least, num, den):
+            tried = set(group[k][5] or ())
+            order = sorted(zip((-agree).tolist(), [group[x][1] for x in at.tolist()], strict=True))
+            out += [(group[k][1], x) for _, x in order if x not in tried][:1]
+        return out
+
+    cells = _cells(members, F.lit(COORDS), ["tried"])
+    return _met(_with_sketches(cells, sets), best, ["owner", "partner"])
+
+
+def _remaining_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components, one of each two that are linked at least, exact on all candidates of members(key, node, comp).
+
+    First the candidates of each bucket and block, as a forest that connects them (in proportion to members, however many pairs there are); its
+    components are groups of texts that may be linked at all. Then each group's nodes meet once, with their full sets, in cells of bounded
+    rows and bytes, where candidates are tested, the likeliest first, until their components are joined."""
+    least = _least(num, den)
+
+    def forest(group: list) -> list[tuple[int, int]]:
+        joined, out = _Joined(), []
+        for k, at, _ in _candidates(group, least, num, den):
+            out += [(group[k][1], group[x][1]) for x in at.tolist() if joined.join(k, x)]
+        return out
+
+    def links(group: list) -> list[tuple[int, int]]:
+        tests = sorted((-n, k, x) for k, at, agree in _candidates(group, least, num, den) for x, n in zip(at.tolist(), agree.tolist(), strict=True))
+        joined, out = _Joined(), []
+        for _, k, x in tests:
+            a, b = group[k], group[x]
+            if joined.top(a[2]) != joined.top(b[2]) and _linked(np.frombuffer(a[5], U64), np.frombuffer(b[5], U64), num, den):
+                joined.join(a[2], b[2])
+                out.append((a[1], b[1]))
+        return out
+
+    may = persist_table(_met(_with_sketches(_cells(members, F.lit(COORDS), []), sets), forest, ["a", "b"]), "nd-forest")
+    groups = connected_components(may).select("node", F.col("label").alias("key"))
+    inside = groups.join(members.select("node", "comp").distinct(), "node").join(sets.select("node", F.octet_length("elements").alias("bytes")), "node")
+    cells = _cells(inside.select("key", "node", "comp", "bytes"), F.col("bytes"), [])
+    return persist_table(_met(_with_sketches(cells, sets, "elements"), links, ["a", "b"]), "nd-links")
 
 
 def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node) for each row of docs(doc_id, text), and (node, component_id, comp) for the nodes that have copies or links."""
     table = persist_table(sketch_table(docs, words), "nd-table")
-    exploded = table.where("bands is not null").select("node", F.posexplode("bands").alias("band", "key"))
+    exploded = table.where("bands is not null").select("node", F.explode("bands").alias("key"))
     leaders = exploded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader")
-    members = persist_table(exploded.join(persist_table(leaders, "nd-leaders"), "key").distinct(), "nd-members")
-    reps = table.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    sets = persist_table(full_sets(docs, persist_table(reps, "nd-need"), words), "nd-sets")
+    members = persist_table(exploded.join(leaders, "key").distinct(), "nd-members")
     # every node against the least leader of its buckets; in groups of near copies that is one node for nearly all
-    pairs = members.groupBy("node").agg(F.min("leader").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
-    edges = verify(persist_table(pairs, "nd-pairs"), sets, num, den)
+    pairs = members.groupBy("node").agg(F.min("leader").alias("a"))
+    # a set's copies fold before any join, however many there are
+    nodes = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = nodes.join(pairs.select("node"), "node", "left_semi").select("node", "rep")
+    sets = persist_table(full_sets(docs, persist_table(reps, "nd-need"), words), "nd-sets")
+    tested = pairs.where("a < node").select("a", F.col("node").alias("b"))
+    edges = verify(tested, sets, num, den)
     labels = connected_components(edges)
-    inside = members.join(labels, "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("comp"))
-    more = _across(persist_table(inside, "nd-inside"), sets, num, den)
-    if not more.isEmpty():
-        labels = connected_components(edges.union(more))
+    # then across components: the best partners, which join nearly all that is to be joined, and after that all that are left
+    tried = tested.select(F.col("b").alias("node"), F.array("a").alias("tried"))
+    with_comps = lambda: members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    for _ in range(ROUNDS):
+        found = persist_table(_best_partners(with_comps().join(tried, "node", "left"), sets, num, den), "nd-owned")
+        more = found.select(F.least("owner", "partner").alias("a"), F.greatest("owner", "partner").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = persist_table(more, "nd-pairs")
+        linked = verify(more, sets, num, den)
+        if not linked.isEmpty():
+            edges = edges.union(linked)
+            labels = connected_components(edges)
+        tested = tested.union(more)
+        # a straggler tries one partner a bucket and block, so the list is short
+        own = tried.select("node", F.explode("tried").alias("x")).union(found.toDF("node", "x"))
+        tried = own.groupBy("node").agg(F.collect_set("x").alias("tried"))
+    linked = _remaining_links(with_comps(), sets, num, den)
+    if not linked.isEmpty():
+        labels = connected_components(edges.union(linked))
     # only sets with copies or links need a component id from elsewhere
-    some = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    some = some.join(labels, "node", "left").where("copies > 1 or label is not null").withColumn("comp", F.coalesce("label", "node"))
+    some = nodes.join(labels, "node", "left").where("copies > 1 or label is not null").withColumn("comp", F.coalesce("label", "node"))
     least = some.groupBy("comp").agg(F.min("rep").alias("component_id"))
     return table, persist_table(some.select("node", "comp").join(least, "comp").select("node", "component_id", "comp"), "nd-ids")
 
@@ -304,12 +398,12 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in _chunks(b.column(1)):
-                keys = set_keys(*shingle_sets(b.column(1).slice(i, j - i), words))
+            text = row_text(b)
+            for i, j in _chunks(text):
+                keys = set_keys(*shingle_sets(text.slice(i, j - i), words))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys, pa.int64())], names=["row", "node"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(tag, f"row {docs.schema.simpleString()}, node long").join(ids, "node", "left")
+    rows = map_arrow(whole_rows(docs), tag, f"row {docs.schema.simpleString()}, node long").join(ids, "node", "left")
     rows = rows.where("comp is null or row.doc_id <=> component_id")
     # few rows are left of each group, so the last step moves a row a group
     return rows.where("comp is null").select("row.*").unionByName(rows.where("comp is not null").dropDuplicates(["comp"]).select("row.*"))

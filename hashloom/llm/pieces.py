@@ -62,8 +62,11 @@ class Vocabulary:
             else:
                 raw = p.replace(mark, " ").encode()
                 texts.append(raw)
-                if (mark not in p[1:] or not p.strip(mark)) and m.get_score(i) > UNUSED:
-                    weights[i] = -alpha * np.log(RANK_SHIFT - m.get_score(i))
+                score, run = m.get_score(i), not p.strip(mark)
+                if run and score <= UNUSED:
+                    score = -float(i)  # the vocabulary gives runs of marks no rank of their own; their number stands in
+                if (mark not in p[1:] or run) and score > UNUSED:
+                    weights[i] = -alpha * np.log(RANK_SHIFT - score)
                     usable[raw] = i
         if (self.byte_id < 0).any():
             raise ValueError("the vocabulary has no byte pieces")

@@ -66,31 +66,46 @@ def test_chains_and_large_groups(spark):
     assert got == {d: c for d, _, c in brute_components(rows, 2)}
 
 
-def test_pairs_with_a_band_that_agrees_by_chance(spark):
-    """Pairs whose coordinates, cut to 8 bits, agree in a band before the first one they share are linked all the same."""
+def test_no_link_is_lost_across_components(spark):
+    """Thousands of pairs at 0.80 to 0.95 that meet only in their buckets, not through a leader: all are candidates and all are linked."""
     rng = np.random.default_rng(11)
-    rows = []
-    for i in range(2000):
+    texts, want = [], 0
+    for i in range(3000):
         w = [f"p{i}w{k}" for k in range(200)]
         other = list(w)
-        for at in rng.choice(200, 22, replace=False):
+        for at in rng.choice(200, int(rng.integers(5, 23)), replace=False):
             other[at] = f"p{i}r{at}"
-        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
-    el, offs = neardup.shingle_sets(pa.array([t for _, t in rows]), 1)
-    sk = neardup.sketches(el, offs)
-    keys = neardup.band_keys(sk)
-    nodes = neardup.set_keys(el, offs)
-    cut = neardup.mix64(sk).astype(np.uint8).reshape(len(sk), neardup.BANDS, neardup.ROWS)
-    real = keys[::2] == keys[1::2]
-    loose = (cut[::2] == cut[1::2]).all(axis=2)
-    odd = np.flatnonzero(real.any(axis=1) & (loose.argmax(axis=1) < real.argmax(axis=1)))
-    assert len(odd) > 2
-    ids = [int(x) for i in odd for x in (2 * i, 2 * i + 1)]
-    docs = spark.createDataFrame([rows[x] for x in ids], "doc_id long, text string")
-    sets = neardup.full_sets(docs, spark.createDataFrame([(nodes[x], x) for x in ids], "node long, rep long"), 1)
-    members = spark.createDataFrame([(int(k), b, nodes[x], nodes[x]) for x in ids for b, k in enumerate(keys[x].view(np.int64))], "key long, band int, node long, comp long")
-    got = {frozenset((r["a"], r["b"])) for r in neardup._across(members, sets, 80, 100).collect()}
-    assert got == {frozenset((nodes[2 * i], nodes[2 * i + 1])) for i in odd}
+        texts += [" ".join(w), " ".join(other)]
+    el, offs = neardup.shingle_sets(pa.array(texts), 1)
+    keys, nodes = neardup.band_keys(neardup.sketches(el, offs)).view(np.int64), neardup.set_keys(el, offs)
+    linked = [100 * len(a) >= 80 * len(b) for a, b in ((np.intersect1d(el[offs[k] : offs[k + 1]], el[offs[k + 1] : offs[k + 2]]), np.union1d(el[offs[k] : offs[k + 1]], el[offs[k + 1] : offs[k + 2]])) for k in range(0, 6000, 2))]
+    want = {frozenset((nodes[2 * i], nodes[2 * i + 1])) for i, ok in enumerate(linked) if ok}
+    assert len(want) > 2500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = neardup.full_sets(docs, spark.createDataFrame([(n, k) for k, n in enumerate(nodes)], "node long, rep long"), 1).cache()
+    members = spark.createDataFrame([(int(x), nodes[k], nodes[k], None) for k in range(6000) for x in keys[k]], "key long, node long, comp long, tried array<long>").cache()
+    best = neardup.verify(neardup._best_partners(members, sets, 80, 100).toDF("a", "b"), sets, 80, 100)
+    for got in (best, neardup._remaining_links(members, sets, 80, 100)):
+        assert {frozenset((r["a"], r["b"])) for r in got.collect()} == want
+
+
+def test_links_that_the_best_partner_misses(spark, monkeypatch):
+    """Of a component, the member whose sketch agrees best may not be linked while another is: the last pass finds it, in blocks of any size."""
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 3000)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(100)]
+        for c in range(6):
+            w = list(base)
+            for at in rng.choice(100, int(rng.integers(8, 14)), replace=False):
+                w[at] = f"g{g}c{c}r{at}"
+            rows.append((100 * g + c, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, words=1).collect()}
+    assert got == {d: c for d, _, c in brute_components(rows, 1)}
 
 
 def test_one_of_each(spark, docs, clashing, empty):
@@ -123,6 +138,8 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in connected_components(path).collect()}
     assert len({got[i] for i in range(61)}) == 1 and got[100] == got[101] == got[102] != got[0]
     assert connected_components(path.where(F.lit(False))).count() == 0
+    odd = spark.createDataFrame([(None, 1), (2, None), (3, 3), (4, 5)], "a long, b long")
+    assert sorted(r["node"] for r in connected_components(odd).collect()) == [4, 5]
 
 
 def test_shingles_of_short_texts():

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hashloom.llm import catalogue, fingerprint, maskedlm, pieces, pii, tokencount, warc
+from hashloom.llm import catalogue, fingerprint, pieces, pii, tokencount, warc
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -72,94 +72,30 @@ def test_token_histogram(spark, docs, empty):
         assert r["docs_upto"] == sum(x <= L for x in n) and r["tokens_upto"] == sum(x for x in n if x <= L) and r["tokens_cut"] == sum(min(x, L) for x in n)
         assert r["total_docs"] == len(n) and r["total_tokens"] == sum(n)
     got = {(r["kind"], r["argument"]): r["value"] for r in tokencount.answers(h, [1, 50, 10**6], [0.5, 1.0]).collect()}
+    assert got["cut", 10.0**6] == sum(n) and got["docs_from", 50.0] == sum(x >= 50 for x in n) and got["docs_from", 10.0**6] == 0
+    assert {r["value"] for r in tokencount.answers(h.limit(0), [1], [0.5]).collect()} == {None}
     assert got["cut", 50.0] == sum(min(x, 50) for x in n) and got["quantile", 0.5] == sorted(n)[(len(n) + 1) // 2 - 1] and got["quantile", 1.0] == max(n)
     assert tokencount.length_histogram(tokencount.token_lengths(empty)).count() == 0
 
 
+def test_token_query_by_plain_python(spark):
+    n = [len(tokencount.encode(r["text"] or "")) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = catalogue.queries()["op5_token_histogram"](spark, SMALL).collect()
+    rows = {r["argument"]: r for r in got if r["kind"] == "length"}
+    assert set(rows) == set(n) and all(r["n_docs"] == n.count(L) and r["tokens_cut"] == sum(min(x, L) for x in n) and r["n_tokens"] == L for L, r in rows.items())
+    for L in tokencount.LIMITS:
+        told = {r["kind"]: r for r in got if r["argument"] == L and r["kind"] != "length"}
+        assert told["cut"]["tokens_cut"] == sum(min(x, L) for x in n) and told["docs_from"]["docs_from"] == sum(x >= L for x in n)
+    for q in tokencount.QUANTILES:
+        assert next(r for r in got if r["kind"] == "quantile" and r["argument"] == q)["n_tokens"] == min(x for x in n if sum(y <= x for y in n) >= q * len(n))
+
+
 def test_long_white_space():
     for t in ("a" + " " * 7000 + "b", "x" + " " * 6001, "\n" * 6000 + "q", " " * 5000 + "\n\nfoo"):
         assert tokencount.encode(t) == tokencount.encoding(tokencount.VOCABULARY).encode_ordinary(t)
     assert tokencount.encode(" " * 2_000_000)
 
 
-# masked language model ----------------------------------------------------------------------------------------------
-
-
-def test_network_normalises_and_learns():
-    rng = np.random.default_rng(0)
-    net = maskedlm.Network()
-    ctx = rng.integers(0, maskedlm.IDS, (1, 4))
-    every = np.arange(maskedlm.IDS)
-    assert np.exp(net.log_prob(np.repeat(ctx, maskedlm.IDS, axis=0), every)).sum() == pytest.approx(1, abs=1e-4)
-    a = rng.integers(0, 50, 20_000)
-    context = np.stack([a, (a + 1) % 50, (a + 3) % 50, (a + 4) % 50], axis=1)
-    memory = [np.zeros(s, np.float32) for s in maskedlm.Network.SHAPES]
-    before = net.log_prob(context, (a + 2) % 50).mean()
-    for i in range(0, 20_000, 1000):
-        net.step(context[i : i + 1000], ((a + 2) % 50)[i : i + 1000], memory)
-    assert net.log_prob(context, (a + 2) % 50).mean() > before + 2
-
-
-def test_gradient_by_differences():
-    rng = np.random.default_rng(1)
-    context, target = rng.integers(0, maskedlm.IDS, (64, 4)), rng.integers(0, maskedlm.IDS, 64)
-    net = maskedlm.Network(seed=4)
-    start = net.log_prob(context, target).mean()
-    moved = maskedlm.Network(net.flat)
-    moved.step(context, target, [np.full(s, 1e6, np.float32) for s in maskedlm.Network.SHAPES])  # large memory: small plain steps
-    assert moved.log_prob(context, target).mean() > start
-
-
-def test_windows():
-    got = maskedlm.windows(np.array([1, 2, 3, 9]), np.array([0, 3, 3, 4]))
-    p = maskedlm.PAD
-    assert got.tolist() == [[p, p, 2, 3], [p, 1, 3, p], [1, 2, p, p], [p, p, p, p]]
-
-
-def test_lm_query(spark, docs, empty):
-    text = docs.select("doc_id", "text")
-    vocab = maskedlm.vocabulary(text)
-    net = maskedlm.train(text, vocab)
-    got = maskedlm.score(text, vocab, net).collect()
-    assert len(got) == docs.count()
-    for r in got:
-        assert (r["pseudo_perplexity"] is None) == (r["n_tokens"] == 0) and r["log_prob"] <= 0
-    one = next(r for r in docs.collect() if r["doc_id"] == 12)["text"].encode()
-    h, offs = maskedlm._tokens(pa.array([one.decode()]))
-    ids = vocab.of(h)
-    want = net.log_prob(maskedlm.windows(ids, offs), ids).sum() + vocab.within[ids].sum()
-    assert next(r for r in got if r["doc_id"] == 12)["log_prob"] == pytest.approx(want, rel=1e-4)
-    none = empty.select("doc_id", "text")
-    assert maskedlm.score(none, maskedlm.vocabulary(none), maskedlm.train(none, maskedlm.vocabulary(none))).count() == 0
-
-
-def test_lm_prefers_its_corpus(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null")
-    vocab = maskedlm.vocabulary(docs)
-    net = maskedlm.train(docs, vocab, stride=2)
-    rare = maskedlm.Network()
-    mean = lambda d, n: maskedlm.score(d, vocab, n).agg(F.sum("log_prob") / F.sum("n_tokens")).first()[0]
-    assert mean(docs, net) > mean(docs, rare) + 1
-    assert mean(docs, net) > mean(docs.select("doc_id", F.array_join(F.shuffle(F.split("text", " ")), " ").alias("text")), net)
-
-
-def test_lm_trains_on_every_position(spark):
-    rng = np.random.default_rng(5)
-    offs = np.concatenate([[0], np.cumsum([0, 1, 2, 11, 0, 40, 1, 300, 0])])
-    h = rng.integers(0, 1 << 63, offs[-1]).astype(np.uint64)
-    picked = [maskedlm.targets(h, offs, r, maskedlm.ROUNDS, maskedlm.STRIDE) for r in range(maskedlm.ROUNDS)]
-    assert sorted(np.concatenate(picked).tolist()) == list(range(len(h)))
-    # a short text alone: each of its words is learnt, by the parameters of the query
-    text = "zero one two three four five six seven eight nine ten"
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
-    vocab = maskedlm.vocabulary(docs)
-    h, offs = maskedlm._tokens(pa.array([text]))
-    ids = vocab.of(h)
-    context = maskedlm.windows(ids, offs)
-    gain = maskedlm.train(docs, vocab).log_prob(context, ids) - maskedlm.Network().log_prob(context, ids)
-    assert len(set(ids.tolist())) == 11 and (gain > 1).all(), gain
-
-
 # sampled pieces -----------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +133,60 @@ def test_pieces_follow_the_lattice():
         assert abs(got.get(s, 0) / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def test_runs_of_spaces_have_pieces_of_marks():
+    """The whole lattice: a run of spaces is segmented in every way that the vocabulary allows, not a mark at a time."""
+    v = pieces.vocabulary()
+    table = {bytes(v.bytes[v.at[i] : v.at[i + 1]]): i for i in range(v.size) if np.isfinite(v.weights[i])}
+    assert sum(b" " * k in table for k in range(2, 17)) > 8
+
+    def every(b):
+        return [((), 0.0)] if not b else [((table[b[:n]], *rest), v.weights[table[b[:n]]] + w) for n in range(1, len(b) + 1) if b[:n] in table for rest, w in every(b[n:])]
+
+    want = every(b"    at")  # the leading space among them
+    total, n = np.logaddexp.reduce([w for _, w in want]), 30_000
+    ids, offs = pieces.sample(pa.array(["   at"] * n), np.arange(n), v)
+    got = {}
+    for a, b in zip(offs[:-1], offs[1:], strict=True):
+        k = tuple(ids[a:b].tolist())
+        got[k] = got.get(k, 0) + 1
+    assert set(got) <= {s for s, _ in want} and len(want) > 8
+    for s, w in want:
+        p = np.exp(w - total)
+        assert abs(got.get(s, 0) / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4
+
+
+def test_long_units():
+    """A unit of 200,000 bytes without a space, and as many spaces, come back whole."""
+    v = pieces.vocabulary()
+    texts = ["x" * 200_000, " " * 200_000 + "end"]
+    ids, offs = pieces.sample(pa.array(texts), np.arange(2), v)
+    raw, cuts = v.decode(ids, offs)
+    assert [bytes(raw[a:b]).decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == texts
+
+
+def test_pieces_query(spark):
+    """The registered query: pieces that the vocabulary joins to the text, their number, and the hash of what they decode to."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = catalogue.queries()["op10_sampled_pieces"](spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(text)
+    for r in got:
+        assert r["n_pieces"] == len(r["pieces"]) and r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
+        raw = b"".join(bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace("\u2581", " ").encode() for i in r["pieces"])
+        assert raw.decode() == (" " + text[r["doc_id"]] if text[r["doc_id"]] else "")
+
+
+def test_clashing_columns(spark, docs, clashing):
+    """Further columns under the names that operators use change nothing."""
+    for make in (
+        lambda df: tokencount.length_histogram(tokencount.token_lengths(df)), lambda df: pieces.sampled_pieces(df),
+        lambda df: fingerprint.fingerprints(df), lambda df: fingerprint.edited_fingerprints(df),
+    ):
+        assert sorted(map(str, make(clashing).collect())) == sorted(map(str, make(docs).collect()))
+
+
 def test_pieces_table(spark, docs, empty):
     a = {(r["doc_id"], tuple(r["pieces"])) for r in pieces.sampled_pieces(docs).collect()}
     b = pieces.sampled_pieces(docs.repartition(3)).collect()
@@ -268,10 +258,38 @@ def test_ip_parts_are_compared_whole(spark):
 def test_bootstrapping(spark):
     """Hexadecimal seeds teach the pattern `key: `, which then finds identifiers of other shapes, and those are found elsewhere."""
     rows = [(i, f"some words key: {hashlib.md5(str(i).encode()).hexdigest()[:20]} and more") for i in range(12)]
-    rows += [(100, "a note key: ZX12QW99 here"), (101, "in other words ZX12QW99 appears"), (102, "the year2024 and room42b, nothing to see"), (103, "the 20240101 and the 19991231")]
+    rows += [(100, "a note key: ZX12QW99 here"), (101, "in other words ZX12QW99 appears"), (102, "the year2024 and room42b, nothing to see"), (103, "the 20240101 and the 19991231"), *((200 + i, "ordinary words here and there, in other hands, and the words end there") for i in range(40))]
     got = listed_rows(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert got[100]["all"] == "id:12:20" and got[101]["all"] == "id:15:23" and got[102]["all"] == "" and got[103]["all"] == ""
-    assert got[100]["text"] == "a note key: [PII] here" and got[102]["text"] == rows[-2][1]
+    assert got[100]["text"] == "a note key: [PII] here" and got[102]["text"] == "the year2024 and room42b, nothing to see"
+
+
+def test_bootstrapping_discovers_what_is_hidden(spark):
+    """Of the tokens in the test table, nine tenths are no seeds: the pattern before them finds them, whatever their shape, and little else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    gold = {(r["doc_id"], m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r["text"] or "")}
+    found = pii.find(docs, seed_shapes="^[0-9a-f]{39}[07]$").select("row.doc_id", F.explode("pii.id").alias("s")).select("doc_id", "s.b", "s.e")
+    got = {tuple(r) for r in found.collect()}
+    assert len(gold) > 100 and len(got & gold) > 0.9 * len(gold) and len(got - gold) < 0.1 * len(got)
+
+
+def test_candidates_of_any_length_and_words_of_any_length(spark):
+    """Long identifiers, signs inside them, and a word of 5,000 letters as the pattern."""
+    word = "k" * 5000
+    rows = [(i, f"note {word}: {hashlib.md5(str(i).encode()).hexdigest()} end") for i in range(8)]
+    rows += [(20, f"note {word}: ab-12_cd/ef+34.gh end"), (21, f"note {word}: {'9a' * 400} end"), (22, f"note {'k' * 4999}: zz12zz12 stop"), *((100 + i, "the words end there") for i in range(40))]
+    got = listed_rows(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[20]["all"] == "id:5007:5024" and got[21]["all"] == "id:5007:5807" and got[22]["all"] == ""
+
+
+def test_pii_query_by_plain_python(spark):
+    """Every column of the registered query; of spans, the base ones."""
+    got = {r["doc_id"]: r for r in catalogue.queries()["op7_bootstrapped_pii"](spark, SMALL).collect()}
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        own, row = brute_base(r["text"]), got[r["doc_id"]]
+        assert [row[f"n_{k}"] for k in BASE] == [sum(x.startswith(f"{k}:") for x in own) for k in BASE]
+        assert row["base_sha256"] == hashlib.sha256(",".join(own).encode()).hexdigest()
+        assert [x for x in row["spans"].split(",") if x and not x.startswith("id:")] == own
 
 
 def test_pii_edges(spark, docs, clashing, empty):
@@ -306,13 +324,56 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprint.edited_fingerprints(empty).count() == 0
 
 
-def test_successors_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "ROWS_A_BUCKET", 7)
-    df = spark.range(100).select((F.col("id") * F.col("id")).alias("doc_id"), F.format_string("t%05d and some more", "id").alias("text"))
-    got = {r["doc_id"]: r["edited"] for r in fingerprint.edited_fingerprints(df).collect()}
-    for i in range(100):
-        t, n = f"t{i:05d} and some more", f"t{(i - 1) % 100:05d} and some more"
-        assert got[i * i] == t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+@pytest.mark.parametrize("cuts", [3, 1000])
+def test_successors_over_many_ranges(spark, monkeypatch, cuts):
+    """Ranges of a few rows, by quantiles and by steps between them; a third of the rows under one id, and null ids."""
+    monkeypatch.setattr(fingerprint, "ROWS_A_RANGE", 7)
+    monkeypatch.setattr(fingerprint, "MOST_CUTS", cuts)
+    rows = [(i * i, f"t{i:05d} and some more") for i in range(100)] + [(777, f"many {i * 7919 % 101} under one id") for i in range(70)] + [(None, f"none {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = fingerprint._ranges(df.select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("key"), F.xxhash64("text").alias("h"))).groupBy("range").count()
+    assert ranges.agg(F.max("count")).first()[0] < 60 and ranges.count() > 5
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], spark_hash(r[1]), r[1]), reverse=True)
+    got = sorted((str(r["doc_id"]), r["edited"]) for r in fingerprint.edited_fingerprints(df).collect())
+    want = [(str(d), t[: len(t) - len(t) // 3] + order[(i + 1) % len(order)][1][: len(t) // 3]) for i, (d, t) in enumerate(order)]
+    assert got == sorted(want)
+
+
+def spark_hash(*values):
+    """xxhash64 as Spark chains it: 64 bits with seed 42, each value seeded by the hash before; None leaves it as it is."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little"), h)
+    return h - 2**64 if h >> 63 else h
+
+
+def plain_sketch(t):
+    w = [spark_hash(x) for x in re.split(r"[ \t\n\x0b\f\r]+", t) if x]
+    p = [0] * 4 + w
+    return sorted({spark_hash(*p[i : i + 5]) for i in range(len(w))})[:128]
+
+
+def plain_likeness(a, b):
+    u = sorted({*a, *b})[:128]
+    return len([x for x in u if x in a and x in b]) / len(u) if u else 1.0
+
+
+def test_fingerprint_query_by_plain_python(spark):
+    """Every column of the registered query."""
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    rows.sort(reverse=True)
+    got = {r["doc_id"]: r for r in catalogue.queries()["op8_bottom_k_fingerprints"](spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    hexes = lambda s: "".join(f"{x % 2**64:016X}" for x in s)
+    for i, (d, t) in enumerate(rows):
+        n = rows[(i + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+        a, b, c = plain_sketch(t), plain_sketch(edited), plain_sketch(n)
+        want = (d, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexes(a), hexes(b), plain_likeness(set(a), set(b)), plain_likeness(set(a), set(c)))
+        assert tuple(got[d]) == want
 
 
 def test_sketches_merge(spark):
