@@ -21,13 +21,29 @@ U64 = np.uint64
 BATCH_ROWS = 1024
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one. Its tables stay while results that read them may be asked for; release() ends that."""
+    return f"{shared_dir(spark)}/hashloom/{spark.sparkContext.applicationId}"
+
+
 def persist_table(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and reread it: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/hashloom/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that operators have written for this application: intermediate tables, windows, archives. Results that were not written elsewhere are lost with them."""
+    drop_path(spark, scratch_dir(spark))
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """df.mapInArrow(fn, schema) with memory in bounds: batches hold at most BATCH_ROWS rows (set in the session; Spark's default of 10,000 whole texts takes
     hundreds of MB in the JVM and in Python), and workers give back what a task leaves unused."""

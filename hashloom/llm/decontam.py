@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_arrow, row_chunks, row_text, shared_dir, text_buffer, whole_rows, word_hashes, word_spans
+from .common import LOWER, map_arrow, row_chunks, row_text, scratch_dir, text_buffer, whole_rows, word_hashes, word_spans
 
 WINDOW = 13
 SHARD_BYTES = 16 << 20
@@ -298,13 +298,13 @@ def _write_blocks(benchmark: DataFrame, window: int, bench_bytes: int) -> list[s
     spark = benchmark.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     blocks = max(1, -(-(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bench_bytes))
-    fs, root = pafs.FileSystem.from_uri(f"{shared_dir(spark)}/hashloom/windows-{uuid.uuid4().hex}")
+    fs, root = pafs.FileSystem.from_uri(f"{scratch_dir(spark)}/windows-{uuid.uuid4().hex}")
     fs.create_dir(root, recursive=True)
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect() if blocks > 1 else bench.collect()
         with fs.open_output_stream(f"{root}/{k}", compression=None) as out:
             out.write(pickle.dumps(Windows([tuple(r) for r in rows], window)))
-    at = f"{shared_dir(spark)}/hashloom/{root.rsplit('/', 1)[1]}"
+    at = f"{scratch_dir(spark)}/{root.rsplit('/', 1)[1]}"
     return [f"{at}/{k}" for k in range(blocks)]
 
 

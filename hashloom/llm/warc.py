@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, persist_table, shared_dir, shuffle_width
+from .common import map_arrow, persist_table, scratch_dir, shuffle_width
 
 BLOCK_LINES = 3000
 FILE_BYTES = 1 << 30
@@ -297,7 +297,7 @@ def url_keys(pages: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame, min_revisit: int = 0, with_payload: bool = True) -> DataFrame:
     """Write archives and index below the shared folder, then look every page's URL up and read its records back."""
     spark = pages.sparkSession
-    root = f"{shared_dir(spark)}/hashloom/warc-{uuid.uuid4().hex}"
+    root = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     captures = write_archives(pages, f"{root}/archives", min_revisit)
     tops = build_index(captures, f"{root}/index")
     return lookup(spark, url_keys(pages), tops, f"{root}/index", f"{root}/archives", with_payload)
