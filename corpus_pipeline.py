@@ -9,7 +9,8 @@ the shared folder and rereads for the next. All but the last return the columns
 * personal_data writes [PII] for every span found.
 * pieces returns sampled piece ids, their number and the text they decode to.
 
-Null and empty texts pass the stages as they are (a null text stays null up to the last stage, which decodes it to ""); where the
+Every stage decides on each row by itself, but for near_duplicates: of a group of copies the least doc_id stays, ties and
+repeated rows are one row of any of them. Texts are read whole, however long. Null and empty texts pass the stages as they are (a null text stays null up to the last stage, which decodes it to ""); where the
 text changes, n_chars, if the table has it, is counted anew. Empty tables stay empty. Further columns pass through.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashloom.llm import decontam, neardup, pieces, pii, quality
-from hashloom.llm.common import persist_table, shared_dir
+from hashloom.llm.common import drop_path, persist_table, scratch_dir
 
 #: SQL cannot express these stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -74,11 +75,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the last one's table."""
-    root = f"{shared_dir(spark)}/hashloom/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; the last one's table. A stage's table goes when the next one's is written."""
+    root = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         at = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if k:
+            drop_path(spark, f"{root}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
