@@ -324,7 +324,7 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprint.edited_fingerprints(empty).count() == 0
 
 
-@pytest.mark.parametrize("cuts", [3, 1000])
+@pytest.mark.parametrize("cuts", [8, 1000])
 def test_successors_over_many_ranges(spark, monkeypatch, cuts):
     """Ranges of a few rows, by quantiles and by steps between them; a third of the rows under one id, and null ids."""
     monkeypatch.setattr(fingerprint, "ROWS_A_RANGE", 7)
