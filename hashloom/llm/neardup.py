@@ -403,6 +403,8 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
                 keys = set_keys(*shingle_sets(text.slice(i, j - i), words))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(keys, pa.int64())], names=["row", "node"])
 
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # three numbers a row; beyond the bound the texts are shuffled instead
     rows = map_arrow(whole_rows(docs), tag, f"row {docs.schema.simpleString()}, node long").join(ids, "node", "left")
     rows = rows.where("comp is null or row.doc_id <=> component_id")
     # few rows are left of each group, so the last step moves a row a group

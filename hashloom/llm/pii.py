@@ -31,6 +31,7 @@ KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
 SUPPORT = 3
 SHARE = 0.05
+BROADCAST_PATTERNS = 500_000
 ACCEPT = 0.5
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -151,7 +152,9 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept:
     # patterns that a round may reach: those with enough distinct candidates, seeds or not
     wanted = persist_table(reach.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= support).select("pattern"), "pii-patterns")
     seen = docs.select(F.explode(_everywhere(text)).alias("pattern"))
-    totals = persist_table(seen.join(wanted, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total")), "pii-totals")
+    # short strings; beyond the bound all patterns of all texts are shuffled
+    known = F.broadcast(wanted) if wanted.count() <= BROADCAST_PATTERNS else wanted
+    totals = persist_table(seen.join(known, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total")), "pii-totals")
     reach = reach.join(wanted, "pattern", "left_semi")
     for _ in range(rounds):
         trust = persist_table(trust, "pii-trust")
