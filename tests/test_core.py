@@ -410,6 +410,13 @@ def test_queries_equal_sql(spark, name):
     assert got == sorted((tuple(_norm(v[at.index(c)]) for c in cols) for v in r.fetchall()), key=str)
 
 
+@pytest.mark.parametrize("n", [0, 1, 3_000, 600_000])
+def test_zipf_fill_at_any_size(spark, tmp_path, n):
+    """Few events leave most ranks out, many bring all of them up."""
+    spark.range(n).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    assert rows(catalogue.queries()["kv_upsert_find_zipf"](spark, str(tmp_path))) == [(n, 2 * n, True)]
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_queries_without_sql_run(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
