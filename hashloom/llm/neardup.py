@@ -9,9 +9,10 @@ similarity 0.8 no band agrees with probability (1 - 0.8^5)^32 < 4e-6.
 Equal sets are one node (keys and shingles are 64-bit hashes). Each node is verified against the least member of all its
 buckets. Where a bucket then still holds several components, its members are compared across components by their sketches, in
 blocks of bounded rows and bytes. Pairs whose sketches agree to within SIGMAS deviations of the threshold are tested on full
-sets: in ROUNDS rounds each straggler's best partner that it has not tried, which joins nearly all that is to be joined, and
-then all pairs that are left between components, without a row for each. So groups of near copies cost rows in proportion to
-their size, nothing is capped, and every link is confirmed on full sets.
+sets: in ROUNDS rounds each straggler's best partner in its own block that it has not tried, which joins nearly all that is to
+be joined, and then all pairs that are left between components, without a row for each. A round deals a row a member. The last
+pass deals a row a member, too, while at most BLOCK of a bucket's members and stragglers are left; beyond, its rows are
+members times stragglers over BLOCK. Nothing is capped, and every link is confirmed on full sets.
 
 Defined results: null, empty and word-less texts have the empty set, are linked with nothing and are their own
 component; repeated rows each get a row; texts of any length are shingled whole (a text that exceeds a chunk is a chunk of its
@@ -35,7 +36,7 @@ BANDS, ROWS = 32, 5
 COORDS = BANDS * ROWS
 CHUNK_BYTES = 1 << 20
 CHUNK_DOCS = 1024
-BLOCK, BLOCK_BYTES = 512, 16 << 20
+BLOCK, SET_BLOCK, BLOCK_BYTES = 4096, 1024, 16 << 20
 SALTS = 256
 BROADCAST_IDS = 2_000_000
 SIGMAS = 5
@@ -218,23 +219,34 @@ def _least(num: int, den: int) -> int:
     return int(np.floor(COORDS * (share - SIGMAS * np.sqrt(share * (1 - share) / COORDS))))
 
 
-def _cells(members: DataFrame, size: Column, columns: list[str]) -> DataFrame:
-    """members(key, node, comp, size of its row in bytes, ...) dealt to the cells in which they meet: i, j, straggler, and the columns.
-
-    Of a key with several components, those outside its largest one (all of them stragglers) meet all members, block by block of about BLOCK rows and
-    BLOCK_BYTES bytes; a cell holds one block of each. A straggler stands among the members of its block and, in every block, on the other side."""
+def _split(members: DataFrame, size: Column, columns: list[str], block: int) -> DataFrame:
+    """members(key, node, comp, size of its row in bytes, ...) of the keys with several components: straggler (not of the key's largest one), the columns,
+    and nm and ns, the blocks of about `block` rows and BLOCK_BYTES bytes that the key's members and its stragglers make."""
     per = members.withColumn("__size", size).groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("__size").alias("s")).groupBy("key")
     per = per.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"), F.sum("s").alias("bytes"), F.max_by("s", F.struct("c", "comp")).alias("main_bytes"))
-    blocks = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES)).cast("int")
+    blocks = lambda n, b: F.greatest(F.ceil(n / block), F.ceil(b / BLOCK_BYTES)).cast("int")
     per = per.where("m > top").select("key", "main", blocks(F.col("m"), F.col("bytes")).alias("nm"), blocks(F.col("m") - F.col("top"), F.col("bytes") - F.col("main_bytes")).alias("ns"))
-    rows = members.join(per, "key")
+    return members.join(per, "key").select("key", "node", "comp", (F.col("comp") != F.col("main")).alias("straggler"), *columns, "nm", "ns")
+
+
+def _own_cells(members: DataFrame, size: Column, columns: list[str], deal: int) -> DataFrame:
+    """members dealt to one cell each, i, which another `deal` draws anew: stragglers meet the members of their own block, for a row a member."""
+    i = F.pmod(F.xxhash64("key", "node", F.lit(deal)), F.col("nm").cast("long")).cast("int")
+    return _split(members, size, columns, BLOCK).select("key", i.alias("i"), F.lit(0).alias("j"), "straggler", "node", "comp", *columns)
+
+
+def _cells(members: DataFrame, size: Column, columns: list[str], block: int) -> DataFrame:
+    """members(key, node, comp, size of its row in bytes, ...) dealt to the cells in which all that are to meet do: i, j, straggler, and the columns.
+
+    Of a key with several components, the stragglers meet all members, block by block; a cell holds one block of each. A straggler stands
+    among the members of its block and, in every block, on the other side."""
     cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     bm, bs = F.pmod(F.xxhash64("node"), F.col("nm").cast("long")), F.pmod(F.xxhash64("node", F.lit(7)), F.col("ns").cast("long"))
     cells_of = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda j: cell(bm, j))
     cells_too = F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: cell(i, bs))
-    straggler = F.col("comp") != F.col("main")
-    either = F.when(straggler, F.array_union(cells_of, cells_too)).otherwise(cells_of)
-    return rows.select("key", F.explode(either).alias("cell"), straggler.alias("straggler"), "node", "comp", *columns).select("key", "cell.i", "cell.j", "straggler", "node", "comp", *columns)
+    either = F.when(F.col("straggler"), F.array_union(cells_of, cells_too)).otherwise(cells_of)
+    rows = _split(members, size, columns, block)
+    return rows.select("key", F.explode(either).alias("cell"), "straggler", "node", "comp", *columns).select("key", "cell.i", "cell.j", "straggler", "node", "comp", *columns)
 
 
 def _met(cells: DataFrame, fn: Callable, names: list[str]) -> DataFrame:
@@ -298,19 +310,20 @@ def _with_sketches(cells: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
     return cells.join(own, "node").select("key", "i", "j", "straggler", "node", "comp", "size", "sketch", *more, *[c for c in cells.columns if c == "tried"])
 
 
-def _best_partners(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(owner, partner): in each bucket and block of members(key, node, comp, tried) a straggler's candidate that agrees best and that it has not tried, so candidates are in proportion to members."""
+def _best_partners(members: DataFrame, sets: DataFrame, num: int, den: int, deal: int = 0) -> DataFrame:
+    """(owner, partner): in its block of each bucket of members(key, node, comp, tried) a straggler's candidate that agrees best and that it has not tried, so candidates are in proportion to members."""
     least = _least(num, den)
 
     def best(group: list) -> list[tuple[int, int]]:
-        out = []
+        out, node = [], np.array([r[1] for r in group], np.int64)
         for k, at, agree in _candidates(group, least, num, den):
-            tried = set(group[k][5] or ())
-            order = sorted(zip((-agree).tolist(), [group[x][1] for x in at.tolist()], strict=True))
-            out += [(group[k][1], x) for _, x in order if x not in tried][:1]
+            free = ~np.isin(node[at], np.array(group[k][5] or (), np.int64))
+            if free.any():
+                at, agree = at[free], agree[free]
+                out.append((group[k][1], int(node[at[agree == agree.max()]].min())))
         return out
 
-    cells = _cells(members, F.lit(COORDS), ["tried"])
+    cells = _own_cells(members, F.lit(COORDS), ["tried"], deal)
     return _met(_with_sketches(cells, sets), best, ["owner", "partner"])
 
 
@@ -319,29 +332,34 @@ def _remaining_links(members: DataFrame, sets: DataFrame, num: int, den: int) ->
 
     First the candidates of each bucket and block, as a forest that connects them (in proportion to members, however many pairs there are); its
     components are groups of texts that may be linked at all. Then each group's nodes meet once, with their full sets, in cells of bounded
-    rows and bytes, where candidates are tested, the likeliest first, until their components are joined."""
+    rows and bytes, where a straggler's candidates are tested, the likeliest first, until their components are joined."""
     least = _least(num, den)
 
     def forest(group: list) -> list[tuple[int, int]]:
-        joined, out = _Joined(), []
+        out, tree = [], np.arange(len(group))
         for k, at, _ in _candidates(group, least, num, den):
-            out += [(group[k][1], group[x][1]) for x in at.tolist() if joined.join(k, x)]
+            met, first = np.unique(tree[at], return_index=True)
+            out += [(group[k][1], group[x][1]) for x in at[first[met != tree[k]]].tolist()]
+            tree[np.isin(tree, met)] = tree[k]
         return out
 
     def links(group: list) -> list[tuple[int, int]]:
-        tests = sorted((-n, k, x) for k, at, agree in _candidates(group, least, num, den) for x, n in zip(at.tolist(), agree.tolist(), strict=True))
-        joined, out = _Joined(), []
-        for _, k, x in tests:
-            a, b = group[k], group[x]
-            if joined.top(a[2]) != joined.top(b[2]) and _linked(np.frombuffer(a[5], U64), np.frombuffer(b[5], U64), num, den):
-                joined.join(a[2], b[2])
-                out.append((a[1], b[1]))
+        joined, out, comp = _Joined(), [], np.array([r[2] for r in group], np.int64)
+        for k, at, agree in _candidates(group, least, num, den):
+            at = at[np.argsort(-agree, kind="stable")]
+            while len(at):
+                a, b = group[k], group[at[0]]
+                together = joined.top(a[2]) == joined.top(b[2])
+                if not together and _linked(np.frombuffer(a[5], U64), np.frombuffer(b[5], U64), num, den):
+                    together = joined.join(a[2], b[2])
+                    out.append((a[1], b[1]))
+                at = at[comp[at] != b[2]] if together else at[1:]
         return out
 
-    may = persist_table(_met(_with_sketches(_cells(members, F.lit(COORDS), []), sets), forest, ["a", "b"]), "nd-forest")
+    may = persist_table(_met(_with_sketches(_cells(members, F.lit(COORDS), [], BLOCK), sets), forest, ["a", "b"]), "nd-forest")
     groups = connected_components(may).select("node", F.col("label").alias("key"))
     inside = groups.join(members.select("node", "comp").distinct(), "node").join(sets.select("node", F.octet_length("elements").alias("bytes")), "node")
-    cells = _cells(inside.select("key", "node", "comp", "bytes"), F.col("bytes"), [])
+    cells = _cells(inside.select("key", "node", "comp", "bytes"), F.col("bytes"), [], SET_BLOCK)
     return persist_table(_met(_with_sketches(cells, sets, "elements"), links, ["a", "b"]), "nd-links")
 
 
@@ -363,8 +381,8 @@ def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
     # then across components: the best partners, which join nearly all that is to be joined, and after that all that are left
     tried = tested.select(F.col("b").alias("node"), F.array("a").alias("tried"))
     with_comps = lambda: members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-    for _ in range(ROUNDS):
-        found = persist_table(_best_partners(with_comps().join(tried, "node", "left"), sets, num, den), "nd-owned")
+    for k in range(ROUNDS):
+        found = persist_table(_best_partners(with_comps().join(tried, "node", "left"), sets, num, den, k), "nd-owned")
         more = found.select(F.least("owner", "partner").alias("a"), F.greatest("owner", "partner").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         more = persist_table(more, "nd-pairs")
         linked = verify(more, sets, num, den)
@@ -372,7 +390,7 @@ def grouped(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> t
             edges = edges.union(linked)
             labels = connected_components(edges)
         tested = tested.union(more)
-        # a straggler tries one partner a bucket and block, so the list is short
+        # a straggler tries one partner a bucket, so the list is short
         own = tried.select("node", F.explode("tried").alias("x")).union(found.toDF("node", "x"))
         tried = own.groupBy("node").agg(F.collect_set("x").alias("tried"))
     linked = _remaining_links(with_comps(), sets, num, den)

@@ -108,6 +108,25 @@ def test_links_that_the_best_partner_misses(spark, monkeypatch):
     assert got == {d: c for d, _, c in brute_components(rows, 1)}
 
 
+def test_rows_follow_members(spark, monkeypatch):
+    """Thousands of members of one bucket, all of them stragglers: a pass deals a row a member, not one for each block that a member meets."""
+    dealt, met = [], neardup._met
+    monkeypatch.setattr(neardup, "_met", lambda cells, *a: dealt.append(cells.count()) or met(cells, *a))
+    rows = [(i, " ".join(f"m{i // 2}w{k}" if k < 36 else f"m{i}w{k}" for k in range(40))) for i in range(2000)]
+    el, offs = neardup.shingle_sets(pa.array([t for _, t in rows]), 1)
+    nodes = neardup.set_keys(el, offs)
+    need = spark.createDataFrame([(x, k) for k, x in enumerate(nodes)], "node long, rep long")
+    sets = neardup.full_sets(spark.createDataFrame(rows, "doc_id long, text string"), need, 1).cache()
+    members = spark.createDataFrame([(1, x, x, None) for x in nodes], "key long, node long, comp long, tried array<long>").cache()
+    neardup._best_partners(members, sets, 80, 100)
+    got = {frozenset((r["a"], r["b"])) for r in neardup._remaining_links(members, sets, 80, 100).collect()}
+    assert got == {frozenset(nodes[k : k + 2]) for k in range(0, 2000, 2)}
+    assert dealt[:2] == [2000, 2000]
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    neardup._best_partners(members, sets, 80, 100)
+    assert dealt[-1] == 2000
+
+
 def test_one_of_each(spark, docs, clashing, empty):
     kept = neardup.one_of_each(clashing)
     assert kept.columns == clashing.columns
