@@ -32,6 +32,7 @@ ROUNDS = 3
 SUPPORT = 3
 SHARE = 0.05
 BROADCAST_PATTERNS = 500_000
+BROADCAST_SPANS = 1_000_000
 ACCEPT = 0.5
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -165,11 +166,20 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, accept:
         voted = edges.where("not seed").join(score, "pattern").groupBy("v").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("voted"))
         trust = trust.join(voted, "v", "left").select("v", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("voted", F.lit(0.0))).alias("conf"), "seed")
     ids = cand.where("not base").join(trust.where(F.col("conf") >= accept).select("v"), "v", "left_semi")
-    ids = ids.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("id"))
-    out = rows.join(ids, "__row", "left")
+    ids = persist_table(ids.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("id")), "pii-ids")
+    out = _with_ids(rows, ids, F.exists("__cand", lambda s: ~hits(s)))
     return out.select("row", F.struct(*[plain[k].alias(k) for k in KINDS[:-1]], F.coalesce("id", F.array().cast("array<struct<b:int,e:int>>")).alias("id")).alias("pii"))
 
 
+def _with_ids(rows: DataFrame, ids: DataFrame, may: Column) -> DataFrame:
+    """rows with `id` of ids(__row, id), null where there is none, as in all rows that `may` is false for. Whole texts stand in rows, so they stay
+    where they are while the spans are few enough to broadcast (some 100 bytes each); beyond the bound, those that may have ids are shuffled."""
+    if (ids.agg(F.sum(F.size("id"))).first()[0] or 0) <= BROADCAST_SPANS:
+        return rows.join(F.broadcast(ids), "__row", "left")
+    none = F.lit(None).cast(ids.schema["id"].dataType)
+    return rows.where(may).join(ids, "__row", "left").unionByName(rows.where(~may).withColumn("id", none))
+
+
 def listed(kinds: tuple[str, ...]) -> Column:
     """kind:start:end of the spans in struct column `pii`, comma-joined."""
 

@@ -273,6 +273,27 @@ def test_bootstrapping_discovers_what_is_hidden(spark):
     assert len(gold) > 100 and len(got & gold) > 0.9 * len(gold) and len(got - gold) < 0.1 * len(got)
 
 
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """Spans are sent to the texts while they are few, whatever Spark takes their size for; beyond the bound the result is the same."""
+    rows = [(i, f"some words key: {hashlib.md5(str(i).encode()).hexdigest()[:20]} and more") for i in range(12)]
+    rows += [(100, "a note key: ZX12QW99 here"), (101, "mail a1@b2.example and year2024"), (102, ""), (103, None), *((200 + i, "ordinary words here and there") for i in range(40))]
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shown(pii.find(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1))
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        own = spark.createDataFrame([(k, f"t{k}", k % 2 == 0) for k in range(10)], "__row long, text string, may boolean")
+        ids = spark.createDataFrame([(4, [(1, 2)]), (6, [(3, 4), (5, 9)])], "__row long, id array<struct<b:int,e:int>>")
+        for bound, join in ((3, "BroadcastHashJoin"), (2, "SortMergeJoin")):
+            monkeypatch.setattr(pii, "BROADCAST_SPANS", bound)
+            out = pii._with_ids(own, ids, F.col("may"))
+            assert join in shown(out)
+            got = {r["__row"]: (r["text"], [tuple(x) for x in r["id"] or []]) for r in out.collect()}
+            assert got == {k: (f"t{k}", {4: [(1, 2)], 6: [(3, 4), (5, 9)]}.get(k, [])) for k in range(10)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_candidates_of_any_length_and_words_of_any_length(spark):
     """Long identifiers, signs inside them, and a word of 5,000 letters as the pattern."""
     word = "k" * 5000
